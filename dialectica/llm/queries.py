@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialectica.llm import mixing, tokenizer
+from dialectica.llm import mixing, spam, tokenizer
 from dialectica.session import table
 
 
@@ -28,5 +28,14 @@ def p7_shards(spark: SparkSession, folder: str) -> DataFrame:
     return _mixer(spark, folder).shard_counts()
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.found(table(spark, folder, "documents"))
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return spam.score(documents, spam.train(documents))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLE: dict[str, str] = {}
