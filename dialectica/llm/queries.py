@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialectica.llm import mixing, spam, tokenizer
+from dialectica.llm import mixing, pairs, spam, tokenizer
 from dialectica.session import table
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.found(table(spark, folder, "generation_results"))
+
+
+def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.labels(pairs.posteriors(table(spark, folder, "generation_results"))).distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, folder, "documents"), ["doc_id"])
 
@@ -37,5 +45,5 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.score(documents, spam.train(documents))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLE: dict[str, str] = {}
