@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialectica.llm import mixing, pairs, spam, tokenizer
+from dialectica.llm import mixing, pairs, pii, spam, tokenizer
 from dialectica.session import table
 
 
@@ -16,6 +16,14 @@ def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.labels(pairs.posteriors(table(spark, folder, "generation_results"))).distinct()
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(table(spark, folder, "sample_input"))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.scan(pii.review_texts(table(spark, folder, "sample_input")), ["idx", "item_pos"]).distinct()
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, folder, "documents"), ["doc_id"])
 
@@ -45,5 +53,5 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.score(documents, spam.train(documents))
 
 
-QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLE: dict[str, str] = {}
