@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("none", "email", "phone", "id_number", "address", "person_name")
 NONE, EMAIL, PHONE, IDENT, ADDRESS, NAME = range(6)
+#: A chunk is part of a name from this marginal on; names are checked for a family name afterwards.
+NAME_CUTOFF = 0.3
 PLACEHOLDER = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", IDENT: "[ID_NUMBER]", ADDRESS: "[ADDRESS]", NAME: "[PERSON_NAME]"}
 
 #: Common given names of many countries (words that are also dishes, plants or places are left out).
@@ -312,7 +314,7 @@ class Field:
             return []
         active, p = self.marginals(lat)
         runs: list[list[int]] = []
-        for i, y in zip(active, p.argmax(axis=1)):
+        for i, y in zip(active, np.where(p[:, NAME] >= NAME_CUTOFF, NAME, p.argmax(axis=1))):
             if y == NONE:
                 continue
             if runs and runs[-1][1] == i - 1 and runs[-1][2] == y and y in (ADDRESS, NAME):

@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dialectica.llm import mixing, pairs, pii, spam, tokenizer
+from dialectica.llm import mixing, pairs, pii, spam, tokenizer, toxicity
 from dialectica.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.found(table(spark, folder, "sample_input"), table(spark, folder, "review_labels"))
+
+
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(table(spark, folder, "sample_input"), table(spark, folder, "review_labels")).drop("source").distinct()
+
+
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.rates(table(spark, folder, "sample_input"), table(spark, folder, "review_labels"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.found(table(spark, folder, "generation_results"))
 
@@ -53,5 +65,5 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.score(documents, spam.train(documents))
 
 
-QUERIES = {"p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rates": p1_rates, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLE: dict[str, str] = {}
