@@ -33,7 +33,7 @@ CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copies_prompt": 0.5, "other_language":
 #: Words that are a shell without content, keys of the answers, ends of sentences, marks of a cut.
 SHELL = frozenset("null none n/a na nil nan answer response output result json arguments undefined message text error empty".split())
 KEYS = frozenset("arguments id type text evidence support attack a1 a2 a3 a4".split())
-ENDS = ".!?。！？…؟।"
+ENDS = ".!?。！？؟।"
 CUT = regex.compile(r"(?:\[\s*(?:cut|truncated|\.\.\.|…|continued)\s*\]|…|\.\.\.|<\|?(?:eos|end|cut)\|?>)\s*[\"'`}\]]*\s*$", regex.I)
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}\p{Z}]+")
 #: Ways to decline a task in the first person, by language.
@@ -225,7 +225,7 @@ def votes(prompt: str | None, raw: str | None) -> dict[str, str]:
     open_ = open_ended(text)
     tail = regex.sub(r"[\s\"'`)}\]]+$", "", bare)
     json_like = open_ is not None
-    ended = bool(tail) and tail[-1] in ENDS
+    ended = bool(tail) and tail[-1] in ENDS and not CUT.search(text)
     shut = bool(args) and len(regex.findall(r"\bEvidence\s*:\s*\S", text)) >= len(args) and not regex.search(r"\n\s*A\d*\s*(?:\([a-z]*)?\s*$", text)
     unended = sum(not regex.sub(r"[\s\"')\]]+$", "", x)[-1:] in ENDS or not x.strip() for x in args)
     out["truncated"] = (

@@ -58,7 +58,7 @@ _CUT = regex.compile(r"\n+|<br ?/?>|(?<=[.!?…])\s+|(?<=[。！？])")
 SHORT, WORD_BACK, PHRASE_BACK, LINK_BACK = 6, 14, 120, 12
 #: A block is abnormal beyond mean + HIGH + SPREAD x deviation / sqrt(tokens) bits a token, or below mean - LOW.
 HIGH, SPREAD, LOW = 0.8, 0.95, 1.75
-#: A page is flagged only if its abnormal blocks are this many bits away from prose, together.
+#: A page is flagged only if its abnormal blocks are this many bits away from prose, together, and it has more than SHORT tokens.
 EVIDENCE = 30.0
 _SEPARATORS = frozenset("|·•*/>;»~=#›—")
 
@@ -224,7 +224,7 @@ class Model:
             worst = max(worst, abs(v - self.mean))
         if not tokens:
             return None, None, 0.0, False
-        return 2 ** min(60.0, bits / tokens), worst, bad / max(1, total), bad > 0.5 * total and evidence >= EVIDENCE
+        return 2 ** min(60.0, bits / tokens), worst, bad / max(1, total), bad > 0.5 * total and evidence >= EVIDENCE and tokens > SHORT
 
 
 def ngrams(seq: list[str], into: Counter) -> None:
