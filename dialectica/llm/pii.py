@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 KINDS = ("none", "email", "phone", "id_number", "address", "person_name")
 NONE, EMAIL, PHONE, IDENT, ADDRESS, NAME = range(6)
 #: A chunk is part of a name from this marginal on; names are checked for a family name afterwards.
-NAME_CUTOFF = 0.3
+NAME_CUTOFF = 0.25
 PLACEHOLDER = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", IDENT: "[ID_NUMBER]", ADDRESS: "[ADDRESS]", NAME: "[PERSON_NAME]"}
 
 #: Common given names of many countries (words that are also dishes, plants or places are left out).
@@ -349,7 +349,7 @@ _POSITIVE = [
     "Write me at {E} if you want the photos.", "Send the recipe ({E}), please!", "my mail is {E} pls answer", "Complaints go to {E}, apparently.", "Mi correo es {E}.", "e-mail>>{E}", "{E}",
     "The booking form wanted my {I}.", "They wrote my {I} on the receipt, unbelievable.", "To prove my age I had to read out {I} aloud.", "Found a card on the floor, {I}, handed it to the owner.", "invoice made out to {I}", "Me pidieron el documento {I}.", "On a noté ma pièce {I}.", "{I}",
     "I left my bag, please post it to {A}.", "We live at {A}, so it is a short walk.", "They sent the catering to {A} by mistake.", "Delivery to {A} took over an hour.", "El pedido iba a {A}.", "A entrega era para {A}.", "Livraison au {A}, en retard.", "Drop it off: {A}", "{A}",
-    "{N}\n{I}", "{N}\n{P}\n{E}", "{N}\nThe soup was fine.", "{N}, {A}", "{N} / {P}", "{N}, {P}, {I}", "{N} | {E} | {P}", "{N} / {I} / {A}", "{N}, {A}, {P}", "{L}, {G}, {I}", "Contact: {E} {N}", "電話は{P}まで。", "連絡先は{E}です。", "配達先は{A}でした。", "担当は{N}さんでした。", "電話は{P}です。", "{N} called. Later {N2} came back.",
+    "{N}\n{I}", "{N}\n{P}\n{E}", "{N}\nThe soup was fine.", "Signed, {N} The rice was cold.", "Well, signed, {N} They do fish.", "{N}\n{A}", "It was worth it. {N}\n{E}", "We left early. {N}, {I}", "{N}\n{I}\n{P}", "The bill was addressed to {N} (more on that later).", "{N}, {A}", "{N} / {P}", "{N}, {P}, {I}", "{N} | {E} | {P}", "{N} / {I} / {A}", "{N}, {A}, {P}", "{L}, {G}, {I}", "Contact: {E} {N}", "電話は{P}まで。", "連絡先は{E}です。", "配達先は {A} でした。", "担当は{N}さんでした。", "電話は{P}です。", "{N} called. Later {N2} came back.",
 ]
 _NEGATIVE = [
     "{G}\nKiller noodles.", "Signed, {G}\nThe rice was cold.", "{G} was kind and brought extra rice.", "It sits off {S}, look for the green sign.", "They sit on {S}, a block from the river.", "Our receipt number was {D7} and the order id {D2}-{D4}-{D1}.", "Follow them at @lucky.otter for specials.", "See www.menu-board.example for the list.", "Open 11:30-22:00, closed 24.12. to 02.01.",
@@ -375,7 +375,7 @@ class _Maker:
 
     def case(self, s: str) -> str:
         x = self.r.random()
-        return s.lower() if x < 0.18 else s.upper() if x < 0.28 else s
+        return s.lower() if x < 0.24 else s.upper() if x < 0.32 else s
 
     def name(self) -> str:
         r, g, s = self.r, self.given(), self.surname()
@@ -473,7 +473,7 @@ def gold(lat: Lattice, spans: list[tuple[int, int, int]]) -> list[int]:
     return out
 
 
-def train(sentences: int = 10000, seed: int = 7, rounds: int = 150, rate: float = 0.6, decay: float = 2e-4) -> Field:
+def train(sentences: int = 14000, seed: int = 7, rounds: int = 250, rate: float = 0.6, decay: float = 2e-4) -> Field:
     """Fit by composite likelihood: every chunk alone, and given its true neighbours on chain and skip edges.
 
     The first half keeps the node weights strong enough to start an entity without labelled neighbours. Deterministic.
