@@ -55,11 +55,12 @@ TOKEN = regex.compile(
 )
 _CUT = regex.compile(r"\n+|<br ?/?>|(?<=[.!?…])\s+|(?<=[。！？])")
 #: Blocks of fewer tokens are joined with their neighbours; a page's history of words reaches back so far.
-SHORT, WORD_BACK, PHRASE_BACK, LINK_BACK = 6, 14, 120, 12
+SHORT, WORD_BACK, PHRASE_BACK, LINK_BACK = 6, 14, 120, 24
 #: A block is abnormal beyond mean + HIGH + SPREAD x deviation / sqrt(tokens) bits a token, or below mean - LOW.
-HIGH, SPREAD, LOW = 0.8, 0.95, 1.75
-#: A page is flagged only if its abnormal blocks are this many bits away from prose, together, and it has more than SHORT tokens.
-EVIDENCE = 30.0
+HIGH, SPREAD, LOW = 1.2, 0.95, 1.75
+#: A page is flagged only if its abnormal blocks are this many bits away from prose, together, and it has LEAST characters.
+EVIDENCE, LEAST = 25.0, 40
+_POINTS = frozenset(".,!?:;()\"'…。、，！？")
 _SEPARATORS = frozenset("|·•*/>;»~=#›—")
 
 
@@ -93,12 +94,12 @@ class Page:
                 near = kind == "word" and self.at - self.words.get(plain, -(10**9)) <= WORD_BACK
                 self.words[plain] = self.at
                 if plain != low and not low.isdigit():
-                    c = "@w"
+                    c = "~@"
                 elif kind == "cjk":
                     o = ord(t)
-                    c = "h" if o < 0x30A0 else "K" if o < 0x3100 else "H"
+                    c = "~h" if o < 0x30A0 else "~K" if o < 0x3100 else "~H"
                 else:
-                    c = "C" if t[0].isupper() and not shout else "w"
+                    c = "~C" if t[0].isupper() and not shout else "~w"
                 out.append(c + ("RR" if times > 1 else "R" if times else "r" if near else ""))
                 continue
             self.last = ""
@@ -110,6 +111,8 @@ class Page:
                     out.append(t if ord(t) < 0x2100 or t in "。、，！？·」「" else "sym")
             elif kind == "nl":
                 out.append("nl")
+            elif kind == "html" and t[:2].lower() != "<a":
+                continue  # mark-up other than links says nothing here
             else:
                 self.links = [k for k in self.links if self.at - k <= LINK_BACK]
                 out.append(kind + "+" if len(self.links) >= 2 else kind)
@@ -142,21 +145,30 @@ def blocks(text: str) -> Iterator[tuple[int, list[str]]]:
 def is_prose(seq: list[str]) -> bool:
     """Whether a block may train the model: not a list, by its form."""
     n = len(seq)
-    again = sum(c[-1] in "Rr" and len(c) > 1 for c in seq)
-    often = sum(c.endswith("RR") and c[0] != "C" for c in seq)
+    again = sum(c[0] == "~" and c[-1] in "Rr" for c in seq)
+    often = sum(c.endswith("RR") and c[:2] != "~C" for c in seq)
     links = sum(c in ("url", "tag", "html") for c in seq)
     dense = any(c in ("url+", "tag+", "html+") for c in seq)
-    points = sum(len(c) == 1 and not c.isalnum() and c not in _SEPARATORS for c in seq)
+    points = sum(c in _POINTS for c in seq)
     marks = sum(c in _SEPARATORS for c in seq)
     run = most = 0
     for c in seq:
-        run = run + 1 if c[:1] in "wC@" and c not in _FUNCTION else 0
+        run = run + 1 if c[:2] in ("~w", "~C", "~@") else 0
         most = max(most, run)
-    plain = sum(c in _FUNCTION or c[:1] == "h" for c in seq)
-    fit = again <= 0.4 * n and often <= 0.1 * n and links <= 0.15 * n and not dense and marks <= 3 and most <= 9
+    plain = sum(c in _FUNCTION or c[:2] == "~h" for c in seq)
+    fit = again <= 0.4 * n and often <= 0.1 * n and (links <= 1 or links <= 0.05 * n) and not dense and marks <= 3 and most <= 9
     return fit and plain + points > 0 and (n < 24 or plain >= 0.1 * n)
 
 
+def runs_on(seq: list[str]) -> bool:
+    """Whether a block has the function words of prose and few repeats and links: then odd order alone, as of sentences without stops, isn't abnormal."""
+    n = len(seq)
+    plain = sum(c in _FUNCTION or c[:2] == "~h" for c in seq)
+    again = sum(c[0] == "~" and c[-1] in "Rr" for c in seq)
+    links = sum(c[:3] in ("url", "tag", "htm") for c in seq)
+    return plain >= 0.3 * n and again < 0.2 * n and links < 0.1 * n
+
+
 class Model:
     """Interpolated trigram model of class sequences, in bits a token."""
 
@@ -205,7 +217,7 @@ class Model:
     def abnormal(self, seq: list[str]) -> tuple[bool, float]:
         v = self.score(seq)
         high = self.mean + HIGH + SPREAD * self.deviation / math.sqrt(len(seq) + 1)
-        return v > high or v < self.mean - LOW and len(seq) >= 3 * SHORT, v
+        return v > high and not runs_on(seq) or v < self.mean - LOW and len(seq) >= 3 * SHORT, v
 
     def page(self, text: str | None) -> tuple[float | None, float | None, float, bool]:
         """Perplexity of the page, of its most abnormal block, share of characters in abnormal blocks, flag."""
@@ -224,7 +236,7 @@ class Model:
             worst = max(worst, abs(v - self.mean))
         if not tokens:
             return None, None, 0.0, False
-        return 2 ** min(60.0, bits / tokens), worst, bad / max(1, total), bad > 0.5 * total and evidence >= EVIDENCE and tokens > SHORT
+        return 2 ** min(60.0, bits / tokens), worst, bad / max(1, total), bad > 0.5 * total and evidence >= EVIDENCE and total >= LEAST
 
 
 def ngrams(seq: list[str], into: Counter) -> None:
