@@ -69,7 +69,7 @@ CHUNK = regex.compile(
     r"|(?P<w>(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}])+(?:['’\-](?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}])+)*)|(?P<d>\p{Nd}+)|(?P<p>[^\s]|\n)"
 )
 ADDRESS_FORMS = [
-    regex.compile(rf"(?<![\p{{L}}\p{{N}}$€£.,:])(?:No\.?\s?)?\d{{1,5}}(?:\s?-\s?\d{{1,4}})?[A-Za-z]?,?\s(?:(?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\.?\s)?(?:[\p{{L}}'’\-]+\s){{1,3}}(?:{'|'.join(sorted(STREET, key=len, reverse=True))})\b\.?(?:,?\s(?:Apt|Apartment|Unit|Suite|Flat|Floor)\.?\s?\w+)?", regex.I),
+    regex.compile(rf"(?<![\p{{L}}\p{{N}}$€£.,:/\-])(?:No\.?\s?)?\d{{1,5}}(?:\s?-\s?\d{{1,4}})?[A-Za-z]?,?\s(?:(?:N|S|E|W|NE|NW|SE|SW|North|South|East|West)\.?\s)?(?:[\p{{L}}'’\-]+\s){{1,3}}(?:{'|'.join(sorted(STREET, key=len, reverse=True))})\b\.?(?:,?\s(?:Apt|Apartment|Unit|Suite|Flat|Floor)\.?\s?\w+)?", regex.I),
     regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{STREET_FIRST})(?:\s|(?<=[./])\s?)(?:[\p{{L}}'’\-]+\.?\s?){{1,4}},?\s?(?:n\.?º?\s?|nº\s?|д\.\s?)?\d{{1,5}}(?:\s?[A-Za-z])?\b(?:,\s?\d{{1,2}}\.?\s?º\s?\w*\.?)?(?:,?\s\d{{4,5}}(?:-\d{{3}})?\b)?", regex.I),
     regex.compile(r"(?<![\p{L}\p{N}$€£.,:])\d{1,5}(?:\s?(?:bis|ter|[a-z]))?,?\s(?:rue|avenue|boulevard|allée|impasse|chemin|place|quai|route)\s(?:[\p{L}'’\-]+[\s,]?){1,5}?(?=[,.;\n)]|\s\d|$)(?:,?\s\d{5}\s[\p{L}\-]+)?", regex.I),
     regex.compile(r"(?<![\p{L}\p{N}])(?:am|an der|im)?\s?[\p{L}\-]*\p{L}{2,}(?:straße|strasse|str\.?|weg|gasse|allee|platz|graben|ring|ufer|damm|laan|straat|gracht)\s\d{1,4}\s?[a-z]?(?![\p{L}\p{N}]|[.,:]?\d)(?:,\s\d{5}\s[\p{L}\-]+)?", regex.I),
