@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialectica.session import spread
+
 NODE = "array<struct<pre:int,post:int,level:int,kind:string,name:string,path:string,item_pos:bigint,value:string>>"
 _ARROW = pa.list_(
     pa.struct([("pre", pa.int32()), ("post", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("path", pa.string()), ("item_pos", pa.int64()), ("value", pa.string())])
@@ -225,7 +227,7 @@ def labelled(records: DataFrame, line: str, keys: list[str], fields: bool = Fals
                 struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW.value_type)], fields=list(_ARROW.value_type))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)], names=[*keys, "nodes"])
 
-    return records.select(*keys, F.col(line).alias("__line")).mapInArrow(run, schema)
+    return spread(records.select(*keys, F.col(line).alias("__line"))).mapInArrow(run, schema)
 
 
 def node_table(nodes: DataFrame, kind: str, keys: list[str]) -> DataFrame:

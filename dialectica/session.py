@@ -48,6 +48,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores.
+
+    Only an input of fewer splits than cores is shuffled, so at most cores x split size; larger inputs stay as read.
+    Use it before Python work, whose cost for a byte is far above that of moving it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` below `folder`."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet") if "://" not in folder else f"{folder}/{name}.parquet")
