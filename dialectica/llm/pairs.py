@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialectica.llm.spam import FUNCTION_WORDS
-from dialectica.session import materialize
+from dialectica.session import materialize, spread
 
 DEFECTS = ("empty", "refusal", "copies_prompt", "other_language", "truncated")
 #: Least posterior of each defect.
@@ -247,7 +247,7 @@ def vote_table(pairs: DataFrame, key: str = "index") -> DataFrame:
             rows = [votes(p.as_py(), r.as_py()) for p, r in zip(batch.column(1), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[d] for r in rows], pa.string()) for d in DEFECTS)], names=schema.names)
 
-    return pairs.select(key, "prompt", "raw_output").mapInArrow(run, schema)
+    return spread(pairs.select(key, "prompt", "raw_output")).mapInArrow(run, schema)
 
 
 def label_model(counts: dict[str, int], rounds: int = 50, prior: float = 0.02, strength: float = 8.0) -> dict[str, float]:

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialectica.session import spread
+
 KINDS = ("none", "email", "phone", "id_number", "address", "person_name")
 NONE, EMAIL, PHONE, IDENT, ADDRESS, NAME = range(6)
 #: A chunk is part of a name from this marginal on; names are checked for a family name afterwards.
@@ -481,6 +483,8 @@ def train(sentences: int = 14000, seed: int = 7, rounds: int = 250, rate: float
     maker = _Maker(seed)
     index: dict[str, int] = {}
     rows, cols, labels, lefts, rights, skips, masks = [], [], [], [], [], [], []
+    known: dict[tuple, int] = {}
+    weights: list[float] = []
     for _ in range(sentences):
         parts = [maker.sentence() for _ in range(maker.r.choice((1, 1, 2)))]
         text, spans = "", []
@@ -496,20 +500,29 @@ def train(sentences: int = 14000, seed: int = 7, rounds: int = 250, rate: float
             partner.setdefault(a, []).append(b)
             partner.setdefault(b, []).append(a)
         for i in active:
-            r = len(labels)
-            for f in lat.features(i):
-                rows.append(r)
-                cols.append(index.setdefault(f, len(index)))
+            at = tuple(index.setdefault(f, len(index)) for f in lat.features(i))
+            left, right = (y[i - 1] if i else NONE), (y[i + 1] if i + 1 < lat.n else NONE)
+            near = tuple(sorted(y[j] for j in partner.get(i, [])))
+            # Equal cases are kept once, with their number as weight.
+            key = (at, y[i], left, right, near, tuple(lat.allowed[i]))
+            if key in known:
+                weights[known[key]] += 1
+                continue
+            r = known[key] = len(labels)
+            weights.append(1.0)
+            rows += [r] * len(at)
+            cols += at
             labels.append(y[i])
-            lefts.append(y[i - 1] if i else NONE)
-            rights.append(y[i + 1] if i + 1 < lat.n else NONE)
-            skips.append(np.bincount([y[j] for j in partner.get(i, [])], minlength=6) if i in partner else np.zeros(6))
+            lefts.append(left)
+            rights.append(right)
+            skips.append(np.bincount(near, minlength=6) if near else np.zeros(6))
             m = np.full(6, -1e4)
             m[lat.allowed[i]] = 0
             masks.append(m)
     R, C = np.array(rows), np.array(cols)
     Y, Lf, Rt, K, M = np.array(labels), np.array(lefts), np.array(rights), np.array(skips, dtype=float), np.array(masks)
     n, d = len(Y), len(index)
+    share = (np.array(weights) / sum(weights))[:, None]
     node, pair, skip = np.zeros((d, 6)), np.zeros((6, 6)), np.zeros(6)
     gn, gp, gs = np.full((d, 6), 1e-3), np.full((6, 6), 1e-3), np.full(6, 1e-3)
     truth = np.eye(6)[Y]
@@ -517,7 +530,7 @@ def train(sentences: int = 14000, seed: int = 7, rounds: int = 250, rate: float
         alone = M.copy()
         for y in range(6):
             alone[:, y] += np.bincount(R, weights=node[C, y], minlength=n)
-        e, e2 = ((truth - p) / n for p in (soft(alone), soft(alone + pair[Lf] + pair[:, Rt].T + K * skip)))
+        e, e2 = ((truth - p) * share for p in (soft(alone), soft(alone + pair[Lf] + pair[:, Rt].T + K * skip)))
         g = np.stack([np.bincount(C, weights=(e + e2)[R, y], minlength=d) for y in range(6)], axis=1) - decay * node
         h = np.zeros((6, 6))
         np.add.at(h, Lf, e2)
@@ -568,7 +581,7 @@ def scan(texts: DataFrame, keep: list[str], text: str = "text", model: Field | N
                 out.append(redact(s, spans))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], names=schema.names)
 
-    return texts.select(*keep, text).mapInArrow(run, schema)
+    return spread(texts.select(*keep, text)).mapInArrow(run, schema)
 
 
 def found(examples: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialectica.session import spread
+
 #: Frequent function words of each language.
 FUNCTION_WORDS = {
     "en": "the a an and or but if so of to in on at for from with without by as is are was were be been am do does did have has had not no nor we us our you your he she it its they them their i me my this that these those there here what which who when where how than then just only very too also even after before while because about over under again once some any all one two three four five six up down out off into much more most nothing something please tell",
@@ -263,7 +265,7 @@ def train(documents: DataFrame, text: str = "text", most: int = 200_000) -> Mode
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["gram", "n"])
 
-    sums = documents.select(text).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = spread(documents.select(text)).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     return Model({r.gram: r.n for r in sums.toLocalIterator()})
 
 
@@ -280,7 +282,7 @@ def score(documents: DataFrame, model: Model, keep: str = "doc_id", text: str =
             cols = [*zip(*rows)] if rows else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.float64(), pa.float64(), pa.bool_())))], names=schema.names)
 
-    return documents.select(keep, text).mapInArrow(run, schema)
+    return spread(documents.select(keep, text)).mapInArrow(run, schema)
 
 
 def found(documents: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialectica.session import spread
+
 #: The split pattern that belongs to the vocabulary byte_bpe_50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -205,7 +207,7 @@ def encode_column(df: DataFrame, keep: list[str], text: str = "text", ids: str =
                 yield pa.RecordBatch.from_arrays([*cols, lists], names=[*keep, ids])
                 start = row
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
 def count_column(df: DataFrame, keep: list[str], text: str = "text", count: str = "n_tokens", path: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -220,4 +222,4 @@ def count_column(df: DataFrame, keep: list[str], text: str = "text", count: str
             counts = [len(encode(t.as_py())) for t in batch.column(n)]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(counts, pa.int64())], names=[*keep, count])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
