@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,6 +120,11 @@ text: {text}
 evidence: {evidence}"""
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f uses it; keeps generated code small."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(c: Column) -> Column:
     """c without outer white space of any kind."""
     return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
@@ -126,7 +133,7 @@ def strip(c: Column) -> Column:
 def clean_attribute(c: Column) -> Column:
     """An attribute text without its quotes and Unicode prefix; null for null and for any spelling of none."""
     v = F.regexp_replace(F.replace(strip(c), F.lit("u'"), F.lit("'")), "^'+|'+$", "")
-    return F.when(F.lower(v) == "none", None).otherwise(v)
+    return let(v, lambda x: F.when(F.lower(x) == "none", None).otherwise(x))
 
 
 def split_categories(c: Column) -> Column:
@@ -141,14 +148,15 @@ def whole(c: Column) -> Column:
 
 def attribute_pairs(m: Column) -> Column:
     """(label, value) of the shown attributes that have a value, in their fixed order."""
-    each = [F.struct(F.lit(label).alias("label"), clean_attribute(F.try_element_at(m, F.lit(key))).alias("value")) for key, label in ATTRIBUTE_LABELS.items()]
-    return F.filter(F.array(*each), lambda x: x.value.isNotNull())
+    shown = F.array(*(F.struct(F.lit(key).alias("key"), F.lit(label).alias("label")) for key, label in ATTRIBUTE_LABELS.items()))
+    each = F.transform(shown, lambda x: F.struct(x.label.alias("label"), clean_attribute(F.try_element_at(m, x.key)).alias("value")))
+    return F.filter(each, lambda x: x.value.isNotNull())
 
 
 def attribute_text(m: Column) -> Column:
     """label=value pairs joined by '; ', or none."""
     t = F.array_join(F.transform(attribute_pairs(m), lambda x: F.concat(x.label, F.lit("="), x.value)), "; ")
-    return F.when(F.coalesce(t, F.lit("")) == "", "none").otherwise(t)
+    return let(t, lambda x: F.when(F.coalesce(x, F.lit("")) == "", "none").otherwise(x))
 
 
 
@@ -161,12 +169,11 @@ def history_text(history: Column) -> Column:
     """One numbered line for each history item."""
 
     def line(h: Column, i: Column) -> Column:
-        a = attribute_text(h.attributes)
         return F.concat(
             (i + 1).cast("string"), F.lit(". "), F.coalesce(h["name"], F.lit("Unknown")),
             F.lit(" | categories: "), F.coalesce(F.array_join(h.categories, ", "), F.lit("")),
             F.lit(" | rating: "), F.coalesce(whole(h.user_stars), F.lit("N/A")),
-            F.when(a == "none", "").otherwise(F.concat(F.lit(" | attributes: "), a)),
+            let(attribute_text(h.attributes), lambda a: F.when(a == "none", "").otherwise(F.concat(F.lit(" | attributes: "), a))),
         )
 
     return F.coalesce(F.array_join(F.transform(items_present(history), line), "\n"), F.lit(""))
@@ -216,4 +223,4 @@ def escape_html(c: Column) -> Column:
 def view_attributes(m: Column) -> Column:
     """All attributes of a map as escaped key=value pairs, or N/A."""
     t = F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(escape_html(e.key), F.lit("="), F.coalesce(escape_html(e.value), F.lit("None")))), "; ")
-    return F.when(F.coalesce(t, F.lit("")) == "", "N/A").otherwise(t)
+    return let(t, lambda x: F.when(F.coalesce(x, F.lit("")) == "", "N/A").otherwise(x))

@@ -34,14 +34,23 @@ def argument_rows(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter("reason is null").drop("reason"), df.filter("reason is not null").select("index", "pos", "reason")
 
 
+def answer(raw: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """struct(score, reason) of a generated scoring answer; each has its own default."""
+
+    def parts(v: Column) -> Column:
+        s, r = F.try_variant_get(v, "$.score", "variant"), text.strip(json.as_text(F.try_variant_get(v, "$.reason", "variant")))
+        number = text.let(s, lambda x: F.when(json.kind(x) == "BOOLEAN", F.when(x.try_cast("boolean"), 1.0).otherwise(0.0)).when(json.kind(x) == "NUMBER", x.try_cast("double")))
+        reason = text.let(r, lambda x: F.when(x != "", x).otherwise(F.lit(DEFAULT_REASON)))
+        return F.struct(F.coalesce(text.let(number, lambda x: score.normalize_score(x, low, high)), F.lit(DEFAULT_SCORE)).alias("score"), reason.alias("reason"))
+
+    default = F.struct(F.lit(DEFAULT_SCORE).alias("score"), F.lit(DEFAULT_REASON).alias("reason"))
+    return text.let(json.extract_object(raw), lambda v: F.when(json.kind(v) == "OBJECT", parts(v)).otherwise(default))
+
+
 def parse_score(raw: Column, low: float = 0.0, high: float = 1.0) -> tuple[Column, Column]:
-    """(score, reason) of a generated scoring answer; each has its own default."""
-    v = json.extract_object(raw)
-    obj = json.kind(v) == "OBJECT"
-    s, r = F.try_variant_get(v, "$.score", "variant"), json.as_text(F.try_variant_get(v, "$.reason", "variant"))
-    number = F.when(json.kind(s) == "BOOLEAN", F.when(s.try_cast("boolean"), 1.0).otherwise(0.0)).when(json.kind(s) == "NUMBER", s.try_cast("double"))
-    reason = F.when(obj & (text.strip(r) != ""), text.strip(r)).otherwise(F.lit(DEFAULT_REASON))
-    return F.coalesce(F.when(obj, score.normalize_score(number, low, high)), F.lit(DEFAULT_SCORE)), reason
+    """(score, reason) of a generated scoring answer."""
+    a = answer(raw, low, high)
+    return a.score, a.reason
 
 
 def global_rating_scores(arguments: DataFrame, examples: DataFrame, default: float = 0.5) -> DataFrame:
@@ -61,8 +70,8 @@ def precomputed_scores(arguments: DataFrame, examples: DataFrame, predictions: D
 def score_arguments(arguments: DataFrame, raw: Column, llm_weight: float = 0.5, mf_weight: float = 0.5) -> DataFrame:
     """arguments (with mf_score) and the scoring answers `raw` -> llm_score, llm_score_reason, combined_score."""
     score.check_weights(llm_weight, mf_weight)
-    s, r = parse_score(raw)
-    df = arguments.withColumns({"llm_score": s, "llm_score_reason": r})
+    df = arguments.withColumn("answer", answer(raw))
+    df = df.withColumns({"llm_score": F.col("answer.score"), "llm_score_reason": F.col("answer.reason")}).drop("answer")
     return df.withColumn("combined_score", score.combine(F.col("llm_score"), F.col("mf_score"), llm_weight, mf_weight))
 
 

@@ -39,7 +39,7 @@ def _get(v: Column, key: str) -> Column:
 
 
 def _spelled(v: Column) -> Column:
-    """A value as the reference's language prints it."""
+    """A value as it is printed in messages: None, True, text as it is."""
     k = json.kind(v)
     return F.when(k.isNull() | (k == "NULL"), "None").when(k == "BOOLEAN", F.initcap(v.try_cast("string"))).when(k == "STRING", v.try_cast("string")).otherwise(F.to_json(v))
 
@@ -79,23 +79,28 @@ def _argument(a: Column, i: Column, names: Column) -> Column:
 
 def errors(parsed: Column, names: Column) -> Column:
     """All errors of a parsed answer, in the order of the rules."""
-    listed = _get(parsed, "arguments")
-    args = json.elements(listed)
-    objects = F.filter(args, lambda a: json.kind(a) == "OBJECT")
-    ids = F.transform(F.filter(objects, lambda a: _filled(_get(a, "id"))), lambda a: json.as_text(_get(a, "id")))
-    count = lambda t: F.size(F.filter(objects, lambda a: F.coalesce(json.as_text(_get(a, "type")) == t, F.lit(False))))
-    before = _present(_error(F.size(args) != ARGUMENTS, "wrong_argument_count", "Expected 4 arguments, got ", F.size(args), "."))
-    after = _present(
-        _error(F.size(F.array_distinct(ids)) != F.size(ids), "duplicate_argument_ids", "Argument ids are not unique."),
-        _error(count("support") != PER_TYPE, "wrong_support_count", "Expected 2 support arguments, got ", count("support"), "."),
-        _error(count("attack") != PER_TYPE, "wrong_attack_count", "Expected 2 attack arguments, got ", count("attack"), "."),
-    )
-    each = F.flatten(F.transform(args, lambda a, i: _argument(a, i + 1, names)))
+    args = json.elements(_get(parsed, "arguments"))
+
+    def of_list(args: Column) -> Column:
+        before = _present(_error(F.size(args) != ARGUMENTS, "wrong_argument_count", "Expected 4 arguments, got ", F.size(args), "."))
+        each = F.flatten(F.transform(args, lambda a, i: _argument(a, i + 1, names)))
+        heads = F.transform(F.filter(args, lambda a: json.kind(a) == "OBJECT"), lambda a: F.struct(json.as_text(_get(a, "id")).alias("id"), json.as_text(_get(a, "type")).alias("type")))
+        return F.concat(before, each, text.let(heads, after))
+
+    def after(heads: Column) -> Column:
+        ids = F.transform(F.filter(heads, lambda h: F.coalesce(text.strip(h.id) != "", F.lit(False))), lambda h: h.id)
+        count = lambda t: F.size(F.filter(heads, lambda h: F.coalesce(h.type == t, F.lit(False))))
+        return _present(
+            text.let(ids, lambda x: _error(F.size(F.array_distinct(x)) != F.size(x), "duplicate_argument_ids", "Argument ids are not unique.")),
+            text.let(count("support"), lambda n: _error(n != PER_TYPE, "wrong_support_count", "Expected 2 support arguments, got ", n, ".")),
+            text.let(count("attack"), lambda n: _error(n != PER_TYPE, "wrong_attack_count", "Expected 2 attack arguments, got ", n, ".")),
+        )
+
+    checked = text.let(args, lambda x: F.when(x.isNull(), _present(_error(F.lit(True), "missing_arguments_list", "'arguments' field is missing or is not a list."))).otherwise(of_list(x)))
     return (
         F.when(parsed.isNull(), _present(_error(F.lit(True), "invalid_json", "Parsed JSON is None.")))
         .when(json.kind(parsed) != "OBJECT", _present(_error(F.lit(True), "invalid_root_object", "Parsed output is not a JSON object.")))
-        .when(args.isNull(), _present(_error(F.lit(True), "missing_arguments_list", "'arguments' field is missing or is not a list.")))
-        .otherwise(F.concat(before, each, after))
+        .otherwise(checked)
     )
 
 
