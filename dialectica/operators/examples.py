@@ -95,6 +95,9 @@ def build_examples(reviews: DataFrame, businesses: DataFrame, users: DataFrame)
 
 
 def once(examples: DataFrame, key: str = "idx", order: str = "ingested_at") -> DataFrame:
-    """Examples delivered several times, once: the first delivery."""
-    others = [c for c in examples.columns if c != key]
-    return examples.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("e")).select(key, "e.*")
+    """Examples delivered several times, once: the first delivery; rows of a null key count as one.
+
+    A rank with a limit of 1 is cut down before the shuffle, and columns that aren't used behind it aren't read.
+    """
+    w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
+    return examples.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")

@@ -64,3 +64,28 @@ def test_json_array_and_html(spark):
 def test_extract_object(spark):
     rows = ['x {"a":1} y', '{"a":1} {"b":2}', "}{", "{'a':1}", '{"a":1,"a":2}', None, "", "[1]", '{"a":1},"b":{"c":2}']
     assert values(spark, "string", rows, lambda c: F.to_json(json.extract_object(c))) == ['{"a":1}', None, None, None, '{"a":2}', None, None, None, None]
+
+
+def test_properties_of_the_semantics(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        s = [round(r.random(), 3) for _ in range(r.randrange(0, 6))]
+        b, a = round(r.random(), 3), round(r.random(), 3)
+        rows.append((i, s, sorted(s), s + [1.0], [min(1.0, x + 0.1) for x in s], b, a))
+    df = spark.createDataFrame(rows, "i int, s array<double>, t array<double>, u array<double>, v array<double>, b double, a double")
+    p = score.probabilistic_sum
+    out = df.select(p(F.col("s")).alias("s"), p(F.col("t")).alias("t"), p(F.col("u")).alias("u"), p(F.col("v")).alias("v"), "b", "a")
+    g = score.gradual
+    out = out.select("*", g(F.col("b"), F.col("a"), F.col("s")).alias("g"), g(F.col("b"), F.col("a"), F.col("v")).alias("more"), g(F.col("b"), F.col("v"), F.col("s")).alias("x"), g(F.col("b"), F.col("s"), F.col("s")).alias("same"))
+    for x in out.collect():
+        assert 0 <= x.s <= 1 and abs(x.s - x.t) < 1e-12 and x.u == 1 and x.v >= x.s - 1e-12
+        assert 0 <= x.g <= 1 and x.more >= x.g - 1e-12 and 0 <= x.x <= 1 and abs(x.same - x.b) < 1e-12
+
+
+def test_nulls_and_nan(spark):
+    df = spark.createDataFrame([(None, float("nan"))], "a double, b double")
+    r = df.select(score.clamp(F.col("a")), score.clamp(F.col("b")), score.normalize_score(F.col("b")), score.gradual(F.col("a"), F.lit(0.1), F.lit(0.2))).first()
+    assert r[0] is None and r[1] == 1.0 and r[2] != r[2] and r[3] is None
