@@ -16,6 +16,7 @@ between entities comes out unchanged, to the character.
 
 from __future__ import annotations
 
+import functools
 import random
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -475,10 +476,11 @@ def gold(lat: Lattice, spans: list[tuple[int, int, int]]) -> list[int]:
     return out
 
 
+@functools.lru_cache(maxsize=4)
 def train(sentences: int = 14000, seed: int = 7, rounds: int = 250, rate: float = 0.6, decay: float = 2e-4) -> Field:
     """Fit by composite likelihood: every chunk alone, and given its true neighbours on chain and skip edges.
 
-    The first half keeps the node weights strong enough to start an entity without labelled neighbours. Deterministic.
+    The first half keeps the node weights strong enough to start an entity without labelled neighbours. Deterministic, and so kept for the process.
     """
     maker = _Maker(seed)
     index: dict[str, int] = {}
