@@ -266,6 +266,7 @@ def item_paths(nodes: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.col("a.item_pos").alias("item_pos"), F.explode(F.expr(f"concat(array(''), {leaves})")).alias("attr_path")).distinct()
 
 
-def as_lines(examples: DataFrame, key: str = "idx") -> DataFrame:
-    """key and line: structured examples as JSON text, nulls kept."""
-    return examples.select(key, F.to_json(F.struct("history", "target_item"), {"ignoreNullFields": "false"}).alias("line"))
+def as_lines(examples: DataFrame, key: str = "idx", whole: bool = False) -> DataFrame:
+    """key and line: structured examples as JSON text, nulls kept. whole: with all columns, times as text to the microsecond; else history and target only."""
+    columns = [F.col(c).cast("string").alias(c) if kind.startswith("timestamp") else F.col(c) for c, kind in examples.dtypes if c != key] if whole else ["history", "target_item"]
+    return examples.select(key, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dialectica.operators import cooccurrence, nested
+from dialectica.operators import examples as ex
 from dialectica.session import table
 
 #: What p2_found reads of sample_input: review texts stay unread.
@@ -24,7 +25,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _flat(name: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        lines = nested.as_lines(table(spark, folder, "sample_input")).unionByName(table(spark, folder, "sample_input_raw").select("idx", "line"))
+        given = nested.as_lines(ex.once(table(spark, folder, "sample_input")), whole=True)
+        lines = given.unionByName(table(spark, folder, "sample_input_raw").select("idx", "line").distinct())
         return nested.flat_tables(nested.labelled(lines, "line", ["idx"], fields=True), ["idx"])[name]
 
     query.__name__ = f"p2_{name}"

@@ -95,3 +95,31 @@ def test_pairs_equal_brute_force(spark):
     assert abs(r.lift - 2 * 5 / (3 * 2)) < 1e-12 and r.conviction_ba is None and abs(r.conviction_ab - 3 * 3 / 5 / 1) < 1e-12
     assert {tuple(x) for x in cooccurrence.found(cooccurrence.associations(df), least=2, times=1.5).collect()} == {p for p, m in pair.items() if m >= 2 and 10 * m * len(sets) >= 15 * single[p[0]] * single[p[1]]}
     assert cooccurrence.associations(df.limit(0)).count() == 0
+
+
+def test_flat_tables_over_the_table_equal_brute_force(spark, data):
+    def text(v):
+        return None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+
+    def fields(row):
+        return {k: text(v) for k, v in row.items() if k not in ("history", "target_item", "attributes")}
+
+    examples, items, attributes = {}, {}, set()
+    table = spark.read.parquet(f"{data}/sample_input.parquet")
+    for r in table.withColumn("ingested_at", table.ingested_at.cast("string")).orderBy(table.ingested_at.desc()).collect():
+        row = r.asDict(recursive=True)
+        idx = row.pop("idx")
+        examples[idx] = fields(row)
+        for pos, it in [(0, row["target_item"]), *enumerate(row["history"] or [], 1)]:
+            if it is not None:
+                items[idx, pos] = fields(it)
+                attributes |= {(idx, pos, p) for k, v in (it["attributes"] or {}).items() for p in leaves(v, k)}
+    assert any(x["user_profile"] for x in examples.values()) and len(examples) < table.count()
+    got = {n: problems.QUERIES[f"p2_{n}"](spark, data).collect() for n in ("examples", "items", "attributes")}
+    for n, keys in (("examples", ["idx"]), ("items", ["idx", "item_pos"]), ("attributes", ["idx", "item_pos", "pre"])):
+        assert len({tuple(r[k] for k in keys) for r in got[n]}) == len(got[n]), n
+    assert {r.idx: r.fields for r in got["examples"] if r.idx < 5000000} == examples
+    assert {(r.idx, r.item_pos): r.fields for r in got["items"] if r.idx < 5000000} == items
+    assert sorted((r.idx, r.item_pos, r.path) for r in got["attributes"] if r.idx < 5000000) == sorted(attributes)
+    raw = spark.read.parquet(f"{data}/sample_input_raw.parquet")
+    assert {r.idx for r in got["examples"]} - set(examples) == {r.idx for r in raw.collect() if nested.example_of(nested.readable(r.line)) is not None}
