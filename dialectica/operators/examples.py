@@ -42,9 +42,12 @@ def user_activity(reviews: DataFrame, least: int = LEAST_REVIEWS, most: int = MO
 def sample_users(activity: DataFrame, size: int = SAMPLE, seed: int = SEED, history: int = HISTORY) -> DataFrame:
     """Up to size users in seeded pseudorandom order; only then those without enough reviews for a history are dropped."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), "user_id"))
-    return activity.orderBy(key, "user_id").limit(size).filter(F.col("n") >= history + 1)
+    return eligible_users(activity.orderBy(key, "user_id").limit(size), history)
 
 
+def eligible_users(activity: DataFrame, history: int = HISTORY) -> DataFrame:
+    """All users with enough reviews for a history and a target."""
+    return activity.filter(F.col("n") >= history + 1)
 
 
 def bucket(stars: Column) -> Column:
@@ -79,7 +82,7 @@ def split_history(reviews: DataFrame, size: int = HISTORY, per_bucket: int = 2)
 
 def build_examples(reviews: DataFrame, businesses: DataFrame, users: DataFrame) -> DataFrame:
     """One example for each user: history array and target_item. A business that is missing drops the whole user."""
-    chosen = reviews.join(F.broadcast(users.select("user_id")), "user_id", "left_semi")
+    chosen = reviews.join(users.select("user_id"), "user_id", "left_semi")
     parts = split_history(chosen).join(businesses, "business_id", "left")
     item = F.struct("pos", F.struct("business_id", "name", "categories", "attributes", "user_stars", "review_text").alias("item"))
     target = F.struct(

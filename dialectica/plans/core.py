@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,24 +59,30 @@ def user_sample(spark, d):
     return ex.sample_users(ex.user_activity(reviews(spark, d)))
 
 
-def _split(spark, d):
+def _users(r, sampled):
+    """The sample of at most 100 users, which is small, or all users with enough reviews."""
+    activity = ex.user_activity(r)
+    return F.broadcast(ex.sample_users(activity)) if sampled else ex.eligible_users(activity)
+
+
+def _split(spark, d, sampled=True):
     r = reviews(spark, d)
-    return ex.split_history(r.join(F.broadcast(ex.sample_users(ex.user_activity(r)).select("user_id")), "user_id", "left_semi"))
+    return ex.split_history(r.join(_users(r, sampled).select("user_id"), "user_id", "left_semi"))
 
 
-def target_item(spark, d):
-    t = _split(spark, d).filter("role = 'target'").join(businesses(spark, d), "business_id")
+def target_item(spark, d, sampled=True):
+    t = _split(spark, d, sampled).filter("role = 'target'").join(businesses(spark, d), "business_id")
     return t.select("user_id", "business_id", "name", "ord", "date", F.col("user_stars").alias("user_target_stars"), F.col("stars").alias("global_stars"), "review_count")
 
 
-def history_items(spark, d):
-    h = _split(spark, d).filter("role = 'history'").join(businesses(spark, d), "business_id")
+def history_items(spark, d, sampled=True):
+    h = _split(spark, d, sampled).filter("role = 'history'").join(businesses(spark, d), "business_id")
     return h.select("user_id", F.col("pos").cast("bigint").alias("pos"), "business_id", "name", "ord", "date", "user_stars")
 
 
-def examples_built(spark, d):
+def examples_built(spark, d, sampled=True):
     r, b = reviews(spark, d), businesses(spark, d)
-    e = ex.build_examples(r, b, ex.sample_users(ex.user_activity(r)))
+    e = ex.build_examples(r, b, _users(r, sampled))
     return e.select("user_id", F.size("history").cast("bigint").alias("n_history"), joined(F.transform("history", lambda h: h.business_id)).alias("history"), F.col("target_item.business_id").alias("target"))
 
 
@@ -323,3 +331,5 @@ mf_rows mf_rows_with_target mf_summary mf_bias_predictions mf_als_predictions sc
 score_arguments score_summary graph_nodes graph_edges graph_supporters dfquad_root context_summary graph_layout tooltip_html history_html graph_pages select_slice record_lookup
 random_examples template_answers template_validation generated_scores predictions_parsed"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
+#: The same over all users with enough reviews; the queries without _all keep the sample that their SQL states.
+QUERIES |= {f"{n}_all": partial(globals()[n], sampled=False) for n in ("target_item", "history_items", "examples_built")}

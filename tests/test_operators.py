@@ -202,3 +202,23 @@ def test_files(spark, tmp_path):
     recs = spark.createDataFrame([(1, (True, [])), (2, (False, [("c", "m")]))], "index bigint, validation struct<is_valid:boolean,errors:array<struct<code:string,message:string>>>")
     paths = sinks.split_records(recs, str(tmp_path / "out.jsonl"))
     assert spark.read.json(paths["invalid"]).count() == 1 and "error_counts" in open(paths["summary"]).read()
+
+
+def test_split_and_examples_of_all_users(spark, tmp_path):
+    from dialectica.plans import core
+
+    r = random.Random(5)
+    users = {f"u{i}": r.choice([5, 6, 7, 9, 50, 51]) for i in range(260)}
+    rows = [(u, f"b{r.randrange(4)}", r.choice([1.0, 2.0, 3.0, 4.0, 5.0]), r.choice("xy") * 30, f"2020-01-0{r.randrange(1, 4)}") for u, n in users.items() for _ in range(n)]
+    r.shuffle(rows)
+    rows = [(*x, i) for i, x in enumerate(rows)]
+    spark.createDataFrame(rows, "user_id string, business_id string, stars double, text string, date string, ord bigint").write.parquet(f"{tmp_path}/raw_review.parquet")
+    business = [(f"b{i}", f"B{i}", "Restaurants", None, 4.0, 1, i) for i in range(4)]
+    spark.createDataFrame(business, "business_id string, name string, categories string, attributes map<string,string>, stars double, review_count bigint, snapshot_at int").write.parquet(f"{tmp_path}/raw_business.parquet")
+    want = {u: naive_history([x[1:] for x in rows if x[0] == u]) for u, n in users.items() if 6 <= n <= 50}
+    assert len(want) > examples.SAMPLE
+    q, of = core.QUERIES, {x[5]: x[1] for x in rows}
+    assert {x.user_id: x.ord for x in q["target_item_all"](spark, str(tmp_path)).collect()} == {u: t for u, (t, _) in want.items()}
+    assert {(x.user_id, x.pos): x.ord for x in q["history_items_all"](spark, str(tmp_path)).collect()} == {(u, k): o for u, (_, h) in want.items() for k, o in enumerate(h, 1)}
+    assert {x.user_id: (x.n_history, x.history, x.target) for x in q["examples_built_all"](spark, str(tmp_path)).collect()} == {u: (len(h), "|".join(of[o] for o in h), of[t]) for u, (t, h) in want.items()}
+    assert q["target_item"](spark, str(tmp_path)).count() <= examples.SAMPLE
