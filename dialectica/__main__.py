@@ -64,7 +64,7 @@ def _scored(spark, a) -> DataFrame:
     mf = getattr(a, "mf_predictions", None)
     args = scoring.precomputed_scores(args, e, readers.predictions(spark, mf)) if mf else scoring.global_rating_scores(args, e)
     args = args.join(e.select(F.col("idx").alias("index"), "history", "target_item"), "index")
-    args = args.withColumn("prompt", text.scoring_prompt(F.col("history"), F.col("target_item"), F.col("id"), F.col("arg_type"), F.col("text"), F.col("evidence"))).drop("history", "target_item")
+    args = args.withColumn("prompt", text.scoring_prompt(F.col("history"), F.col("target_item"), F.col("id"), F.col("arg_type"), F.col("text"), F.col("evidence"), F.col("bare"))).drop("history", "target_item", "bare")
     return scoring.score_arguments(generation.infer(args, "prompt", generation.TemplateModel), F.col("raw_output"), a.llm_weight, a.mf_weight)
 
 

@@ -210,8 +210,12 @@ def json_array(texts: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def scoring_prompt(history: Column, target: Column, id_: Column, type_: Column, text: Column, evidence: Column) -> Column:
-    return fill(SCORING_PROMPT, history=history_text(history), target=target_text(target), id=id_, type=type_, text=text, evidence=json_array(evidence))
+def scoring_prompt(history: Column, target: Column, id_: Column, type_: Column, text: Column, evidence: Column, bare: Column | None = None) -> Column:
+    """bare: whether evidence is one text that was given without a list."""
+    shown = json_array(evidence)
+    if bare is not None:
+        shown = F.when(bare, F.regexp_extract(shown, r"(?s)^\[(.*)\]$", 1)).otherwise(shown)
+    return fill(SCORING_PROMPT, history=history_text(history), target=target_text(target), id=id_, type=type_, text=text, evidence=shown)
 
 
 def escape_html(c: Column) -> Column:

@@ -22,14 +22,18 @@ def gate(records: DataFrame, examples: DataFrame, only_valid: bool = False) -> D
 
 
 def argument_rows(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(arguments, quarantine): one row for each argument of parsed; rows without a needed key go to quarantine with the reason."""
+    """(arguments, quarantine): one row for each argument of parsed; rows without a needed key go to quarantine with the reason.
+
+    Evidence that is one text instead of a list is a list of it, with bare set.
+    """
     args = json.elements(F.try_variant_get("parsed", "$.arguments", "variant"))
     df = records.select("index", "user_id", "target_name", F.posexplode(args).alias("pos", "a"))
     get = lambda k: F.try_variant_get("a", f"$.{k}", "variant")
-    evidence = F.transform(json.elements(get("evidence")), lambda e: F.coalesce(json.as_text(e), F.to_json(e)))
+    one = json.as_text(get("evidence"))
+    evidence = F.coalesce(F.transform(json.elements(get("evidence")), lambda e: F.coalesce(json.as_text(e), F.to_json(e))), F.when(one.isNotNull(), F.array(one)))
     gone = F.filter(F.array(*(F.when(get(k).isNull(), F.lit(k)) for k in ("id", "type", "text", "evidence"))), lambda x: x.isNotNull())
     reason = F.when(json.kind(F.col("a")) != "OBJECT", "not an object").when(F.size(gone) > 0, F.concat(F.lit("missing "), F.array_join(gone, ", ")))
-    df = df.withColumns({"id": json.as_text(get("id")), "arg_type": json.as_text(get("type")), "text": json.as_text(get("text")), "evidence": evidence, "reason": reason})
+    df = df.withColumns({"id": json.as_text(get("id")), "arg_type": json.as_text(get("type")), "text": json.as_text(get("text")), "evidence": evidence, "bare": one.isNotNull(), "reason": reason})
     df = df.withColumn("pos", F.col("pos").cast("bigint")).drop("a")
     return df.filter("reason is null").drop("reason"), df.filter("reason is not null").select("index", "pos", "reason")
 

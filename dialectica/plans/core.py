@@ -185,17 +185,17 @@ def _arguments(spark, d, only_valid=True):
     return scoring.argument_rows(_gated(spark, d, only_valid).filter("skip is null"))
 
 
-def arguments(spark, d):
-    return _arguments(spark, d)[0].select("index", "pos", "id", "arg_type", "text", joined("evidence").alias("evidence"))
+def arguments(spark, d, only_valid=True):
+    return _arguments(spark, d, only_valid)[0].select("index", "pos", "id", "arg_type", "text", joined("evidence").alias("evidence"))
 
 
 def argument_quarantine(spark, d):
     return _arguments(spark, d, only_valid=False)[1]
 
 
-def scoring_prompt(spark, d):
-    a = _arguments(spark, d)[0].join(given(spark, d).select(F.col("idx").alias("index"), "history", "target_item"), "index")
-    return a.select("index", "pos", text.scoring_prompt(F.col("history"), F.col("target_item"), F.col("id"), F.col("arg_type"), F.col("text"), F.col("evidence")).alias("prompt"))
+def scoring_prompt(spark, d, only_valid=True):
+    a = _arguments(spark, d, only_valid)[0].join(given(spark, d).select(F.col("idx").alias("index"), "history", "target_item"), "index")
+    return a.select("index", "pos", text.scoring_prompt(F.col("history"), F.col("target_item"), F.col("id"), F.col("arg_type"), F.col("text"), F.col("evidence"), F.col("bare")).alias("prompt"))
 
 
 def scored_text() -> Column:
@@ -206,9 +206,9 @@ def scored_text() -> Column:
     return F.when((F.col("index") + F.col("pos")) % 7 == 0, "no answer").when((F.col("index") + F.col("pos")) % 11 == 0, F.lit('{"score": "0.8", "reason": ""}')).otherwise(good)
 
 
-def llm_score_parse(spark, d):
+def llm_score_parse(spark, d, only_valid=True):
     s, r = scoring.parse_score(scored_text())
-    return _arguments(spark, d)[0].select("index", "pos", r6(s).alias("llm_score"), r.alias("llm_score_reason"))
+    return _arguments(spark, d, only_valid)[0].select("index", "pos", r6(s).alias("llm_score"), r.alias("llm_score_reason"))
 
 
 def mf_fallback_score(spark, d):
@@ -223,45 +223,45 @@ def mf_precomputed_score(spark, d):
     return scoring.precomputed_scores(e.select(F.col("idx").alias("index")), e, p).select("index", r6("mf_score").alias("mf_score"))
 
 
-def _scored(spark, d):
-    a = scoring.global_rating_scores(_arguments(spark, d)[0], given(spark, d))
+def _scored(spark, d, only_valid=True):
+    a = scoring.global_rating_scores(_arguments(spark, d, only_valid)[0], given(spark, d))
     return scoring.score_arguments(a, scored_text())
 
 
-def _scored_once(spark, d):
+def _scored_once(spark, d, only_valid=True):
     """Scored arguments, kept: nodes and edges read them several times."""
-    return materialize(_scored(spark, d))
+    return materialize(_scored(spark, d, only_valid))
 
 
-def score_arguments(spark, d):
-    return _scored(spark, d).select("index", "pos", "id", "arg_type", r6("llm_score").alias("llm_score"), r6("mf_score").alias("mf_score"), r6("combined_score").alias("combined_score"))
+def score_arguments(spark, d, only_valid=True):
+    return _scored(spark, d, only_valid).select("index", "pos", "id", "arg_type", r6("llm_score").alias("llm_score"), r6("mf_score").alias("mf_score"), r6("combined_score").alias("combined_score"))
 
 
-def score_summary(spark, d):
-    s = scoring.summary(_scored(spark, d))
+def score_summary(spark, d, only_valid=True):
+    s = scoring.summary(_scored(spark, d, only_valid))
     return s.select(*(r6(c).alias(c) if c.startswith("avg") else F.col(c) for c in s.columns))
 
 
-def graph_nodes(spark, d):
-    return graph.nodes(_scored_once(spark, d)).select("index", "node_id", "node_type", "text", r6("base_score").alias("base_score"))
+def graph_nodes(spark, d, only_valid=True):
+    return graph.nodes(_scored_once(spark, d, only_valid)).select("index", "node_id", "node_type", "text", r6("base_score").alias("base_score"))
 
 
-def graph_edges(spark, d):
-    return graph.edges(_scored(spark, d))
+def graph_edges(spark, d, only_valid=True):
+    return graph.edges(_scored(spark, d, only_valid))
 
 
-def graph_supporters(spark, d):
-    s = _scored_once(spark, d)
+def graph_supporters(spark, d, only_valid=True):
+    s = _scored_once(spark, d, only_valid)
     return graph.linked(graph.edges(s), graph.nodes(s)).select("index", "pos", "source_id", "relation_type", r6("base_score").alias("base_score"))
 
 
-def _evaluated(spark, d):
-    s = _scored_once(spark, d)
+def _evaluated(spark, d, only_valid=True):
+    s = _scored_once(spark, d, only_valid)
     return graph.evaluate(graph.edges(s), graph.nodes(s))
 
 
-def dfquad_root(spark, d):
-    return _evaluated(spark, d).select("index", "root_text", *(r6(c).alias(c) for c in ("root_base_score", "aggregated_support", "aggregated_attack", "final_score")))
+def dfquad_root(spark, d, only_valid=True):
+    return _evaluated(spark, d, only_valid).select("index", "root_text", *(r6(c).alias(c) for c in ("root_base_score", "aggregated_support", "aggregated_attack", "final_score")))
 
 
 def context_summary(spark, d):
@@ -269,13 +269,13 @@ def context_summary(spark, d):
     return c.select("idx", "user_id", F.col("target.name").alias("target"), r6("target.normalized_user_target_score").alias("target_score"), F.coalesce(F.size("target.attributes"), F.lit(0)).cast("bigint").alias("n_attributes"), joined(F.transform("history", lambda h: h["name"])).alias("history"))
 
 
-def graph_layout(spark, d):
-    s = _scored_once(spark, d)
+def graph_layout(spark, d, only_valid=True):
+    s = _scored_once(spark, d, only_valid)
     return graph.layout(graph.edges(s), graph.nodes(s)).select("index", "node_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
-def tooltip_html(spark, d):
-    n = graph.nodes(_scored_once(spark, d)).withColumns({c: F.lit(None).cast("double") for c in ("llm_score", "mf_score", "combined_score")}).withColumn("base_score", F.lit(0.5))
+def tooltip_html(spark, d, only_valid=True):
+    n = graph.nodes(_scored_once(spark, d, only_valid)).withColumns({c: F.lit(None).cast("double") for c in ("llm_score", "mf_score", "combined_score")}).withColumn("base_score", F.lit(0.5))
     return n.select("index", "node_id", graph.tooltip().alias("tooltip"))
 
 
@@ -283,8 +283,8 @@ def history_html(spark, d):
     return graph.context(given(spark, d)).select("idx", graph.history_panel(F.col("history")).alias("html"))
 
 
-def graph_pages(spark, d):
-    s = _scored_once(spark, d)
+def graph_pages(spark, d, only_valid=False):
+    s = _scored_once(spark, d, only_valid)
     e, n = graph.edges(s), graph.nodes(s)
     return graph.pages(n, e, graph.evaluate(e, n))
 
@@ -309,9 +309,9 @@ def template_validation(spark, d):
     return validate.validated(template_answers(spark, d), given(spark, d)).select("index", F.size("errors").cast("bigint").alias("n_errors"))
 
 
-def generated_scores(spark, d):
+def generated_scores(spark, d, only_valid=False):
     """The scoring prompts through the inference hook, each distinct prompt once."""
-    p = scoring_prompt(spark, d)
+    p = scoring_prompt(spark, d, only_valid)
     g = generation.infer(p, "prompt", generation.TemplateModel)
     s, r = scoring.parse_score(F.col("raw_output"))
     return g.select("index", "pos", s.alias("llm_score"), r.alias("reason"))
@@ -333,3 +333,5 @@ random_examples template_answers template_validation generated_scores prediction
 QUERIES = {n: globals()[n] for n in NAMES.split()}
 #: The same over all users with enough reviews; the queries without _all keep the sample that their SQL states.
 QUERIES |= {f"{n}_all": partial(globals()[n], sampled=False) for n in ("target_item", "history_items", "examples_built")}
+#: The same over the arguments of all records whose answer could be read; the queries without _all keep the valid ones that their SQL states.
+QUERIES |= {f"{n}_all": partial(globals()[n], only_valid=False) for n in "arguments scoring_prompt llm_score_parse score_arguments score_summary graph_nodes graph_edges graph_supporters dfquad_root graph_layout tooltip_html".split()}

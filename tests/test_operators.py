@@ -222,3 +222,53 @@ def test_split_and_examples_of_all_users(spark, tmp_path):
     assert {(x.user_id, x.pos): x.ord for x in q["history_items_all"](spark, str(tmp_path)).collect()} == {(u, k): o for u, (_, h) in want.items() for k, o in enumerate(h, 1)}
     assert {x.user_id: (x.n_history, x.history, x.target) for x in q["examples_built_all"](spark, str(tmp_path)).collect()} == {u: (len(h), "|".join(of[o] for o in h), of[t]) for u, (t, h) in want.items()}
     assert q["target_item"](spark, str(tmp_path)).count() <= examples.SAMPLE
+
+
+def naive_arguments(table):
+    """{(index, pos): argument} of the first deliveries of all records with readable JSON, without those that lack a key."""
+    import json
+
+    rows = {}
+    for r in sorted(table.collect(), key=lambda r: r.generated_at, reverse=True):
+        rows[r["index"]] = r.parsed_json
+    parsed = {i: json.loads(p) for i, p in rows.items() if p is not None}
+    return {(i, k): a for i, v in parsed.items() if isinstance(v.get("arguments"), list) for k, a in enumerate(v["arguments"]) if isinstance(a, dict) and {"id", "type", "text", "evidence"} <= set(a)}
+
+
+def test_arguments_and_graphs_of_all_records(spark, data):
+    from math import prod
+
+    from dialectica.plans import core
+
+    table = spark.read.parquet(f"{data}/generation_results.parquet")
+    want, q = naive_arguments(table), core.QUERIES
+    invalid = {r["index"] for r in table.filter("not validation.is_valid").collect()}
+    assert {i for i, _ in want} & invalid
+    got = {(r["index"], r.pos): (r.id, r.arg_type, r.text, r.evidence) for r in q["arguments_all"](spark, data).collect()}
+    assert got == {k: (a["id"], a["type"], a["text"], "|".join([a["evidence"]] if isinstance(a["evidence"], str) else a["evidence"])) for k, a in want.items()}
+    assert {(r["index"], r.pos) for r in q["scoring_prompt_all"](spark, data).collect()} == set(want)
+    graphs = {}
+    for r in q["score_arguments_all"](spark, data).orderBy("index", "pos").collect():
+        nodes, links = graphs.setdefault(r["index"], ({}, []))
+        nodes[r.id] = r.combined_score
+        links.append((r.id, r.arg_type == "support"))
+    final = {r["index"]: r.final_score for r in q["dfquad_root_all"](spark, data).collect()}
+    assert set(final) == {i for i, _ in want} == {r["index"] for r in q["graph_pages"](spark, data).collect()}
+    for i, (nodes, links) in graphs.items():
+        up, down = (1 - prod(1 - nodes[k] for k, s in links if s is side) for side in (True, False))
+        assert abs(final[i] - (0.5 + 0.5 * (up - down))) < 1e-5, i
+
+
+def test_evidence_that_is_one_text_is_kept(spark):
+    import json
+
+    from dialectica.functions import json as variants
+    from dialectica.functions import text
+
+    odd = record(3, a0={"evidence": 'Pho "Bar"'}, a1={"id": "A1"})
+    df = spark.createDataFrame([(1, "u", "Grill", json.dumps(odd))], "index bigint, user_id string, target_name string, raw string").withColumn("parsed", variants.extract_object(F.col("raw")))
+    rows, gone = scoring.argument_rows(df)
+    assert [(r.id, r.evidence, r.bare) for r in rows.orderBy("pos").collect()] == [("A1", ['Pho "Bar"'], True), ("A1", ["Pho Bar"], False), ("A3", ["Pho Bar"], False)] and gone.count() == 0
+    item = "struct<name:string,categories:array<string>,attributes:map<string,string>,user_stars:double,global_stars:double>"
+    prompts = rows.withColumns({"h": F.expr(f"cast(null as array<{item}>)"), "t": F.expr(f"cast(null as {item})")}).orderBy("pos").select(text.scoring_prompt(F.col("h"), F.col("t"), F.col("id"), F.col("arg_type"), F.col("text"), F.col("evidence"), F.col("bare"))).collect()
+    assert prompts[0][0].endswith('\nevidence: "Pho \\"Bar\\""') and prompts[1][0].endswith('\nevidence: ["Pho Bar"]')
