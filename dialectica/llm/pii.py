@@ -33,6 +33,8 @@ KINDS = ("none", "email", "phone", "id_number", "address", "person_name")
 NONE, EMAIL, PHONE, IDENT, ADDRESS, NAME = range(6)
 #: A chunk is part of a name from this marginal on; names are checked for a family name afterwards.
 NAME_CUTOFF = 0.25
+#: Fixed value: what a lone repeat of a full name's family name adds to its score; the sentences for training hold none.
+REPEAT = 9.0
 PLACEHOLDER = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", IDENT: "[ID_NUMBER]", ADDRESS: "[ADDRESS]", NAME: "[PERSON_NAME]"}
 
 #: Common given names of many countries (words that are also dishes, plants or places are left out).
@@ -101,6 +103,24 @@ def _script(s: str) -> str:
     return "latin" if c < "Ͱ" else "cyr" if "Ѐ" <= c <= "ӿ" else "arab" if "؀" <= c <= "ۿ" else "hang" if "가" <= c <= "힯" else "other"
 
 
+def _stem(s: str) -> str:
+    """A word without possessive ending."""
+    return regex.sub(r"'(?:s)?$", "", s.lower().replace("’", "'").strip("-"))
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether two words can be one family name: equal without case and possessive, one with an ending of at most 2 letters, or, if long, one edit apart."""
+    a, b = sorted((_stem(a), _stem(b)), key=len)
+    if a == b:
+        return len(a) >= 3
+    if len(b) - len(a) <= 2 and len(a) >= 5 and b.startswith(a):
+        return True
+    if len(a) < 6 or len(b) - len(a) > 1 or a[0] != b[0]:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
 class Lattice:
     """Chunks of one text with features, allowed labels and evidence."""
 
@@ -156,6 +176,25 @@ class Lattice:
                         evident[k] = evident[k] or kinds[k] == "w" and (k >= i or cap[k])
         self.given, self.title, self.cap, self.initial = given, title, cap, initial
         self.evident = evident
+        # Lone words like the family name of a full name may be that name anywhere in the text.
+        full = {low[i] for i in range(n) if evident[i] and NAME in self.allowed[i] and self.family(i) and (cap[i] or i and given[i - 1]) and not self.lone(i)}
+        self.repeat = [bool(full) and cap[i] and self.family(i) and not self.street[i] and self.lone(i) and any(alike(low[i], x) for x in full) for i in range(n)]
+        for i in range(n):
+            if self.repeat[i] and NAME not in self.allowed[i]:
+                self.allowed[i].append(NAME)
+
+    def lone(self, i: int) -> bool:
+        """Whether chunk i has no given name, title or initial near it, and no capitalised neighbour."""
+        near = [j for j in range(max(0, i - 2), min(self.n, i + 3)) if j != i]
+        beside = [j for j in (i - 1, i + 1) if 0 <= j < self.n]
+        if i + 1 < self.n and self.kinds[i + 1] == "w" and (self.low[i + 1] in STREET or self.low[i + 1] in BUSINESS):
+            return False
+        return not any(self.given[j] or self.title[j] or self.initial[j] for j in near) and not any(self.cap[j] and self.low[j] not in _STOP for j in beside)
+
+    def family(self, i: int) -> bool:
+        """Whether chunk i can be a family name by itself."""
+        w = self.low[i]
+        return self.kinds[i] == "w" and len(w) >= 3 and not (self.given[i] or self.title[i] or self.initial[i] or w in PARTICLES or w in _STOP or w in BUSINESS or w in STREET)
 
     def announced(self, i: int) -> bool:
         """Whether the words before chunk i announce a name."""
@@ -222,13 +261,15 @@ class Lattice:
         return f
 
     def skips(self, active: list[int]) -> list[tuple[int, int]]:
-        """Pairs of equal chunks (by letters and digits), each joined with the next one like it."""
+        """Pairs of equal or similar chunks (by letters and digits), each joined with the next one like it."""
         last: dict[str, int] = {}
         out = []
         for i in active:
             if self.kinds[i] in ("p", "d") or len(self.low[i]) < 3 or self.low[i] in _STOP or self.low[i] in STREET:
                 continue
             key = _digits(self.low[i]) if self.kinds[i] in "DA" else self.low[i].strip("'-")
+            if key not in last and self.repeat[i]:
+                key = next((x for x in last if self.kinds[last[x]] == "w" and self.family(last[x]) and alike(x, key)), key)
             if key in last and i - last[key] > 1:
                 out.append((last[key], i))
             last[key] = i
@@ -265,6 +306,8 @@ class Field:
         for r, i in enumerate(active):
             at = [self.index[f] for f in lat.features(i) if f in self.index]
             s = self.node[at].sum(axis=0) if at else np.zeros(6)
+            if lat.repeat[i]:
+                s[NAME] += REPEAT
             for y in lat.allowed[i]:
                 out[r, y] = s[y]
         return out
@@ -324,7 +367,7 @@ class Field:
                 runs[-1][1] = i
             else:
                 runs.append([i, i, int(y)])
-        out = []
+        out, families, lone = [], set(), []
         for a, b, y in runs:
             if y == NAME:
                 while b > a and lat.kinds[b] == "p":
@@ -334,11 +377,16 @@ class Field:
                 words = [i for i in range(a, b + 1) if lat.kinds[i] == "w" and lat.low[i] not in PARTICLES]
                 whole = any(lat.kinds[i] == "J" for i in range(a, b + 1)) or len(words) >= 2 and not all(lat.given[i] or lat.title[i] or lat.initial[i] for i in words) or len(words) >= 2 and sum(lat.given[i] for i in words) >= 2
                 if not whole:
+                    if len(words) == 1 and lat.repeat[words[0]]:
+                        lone.append(words[0])
                     continue
+                families |= {lat.low[i] for i in words if lat.family(i)}
             if y == ADDRESS and not any(lat.kinds[i] in "dDA" for i in range(a, b + 1)):
                 continue
             out.append((lat.items[a][0], lat.items[b][1], y))
-        return out
+        # A family name alone counts only if the text gives it in full elsewhere.
+        out += [(lat.items[i][0], lat.items[i][1], NAME) for i in lone if any(alike(lat.low[i], x) for x in families)]
+        return sorted(out)
 
 
 # Sentences for training, made by rule.

@@ -56,3 +56,24 @@ def test_tables(spark, field):
     df = spark.createDataFrame([(i, s, None if h is None else [None if x is None else (x[0], 1) for x in h], None if t is None else (t[0], 1)) for i, s, h, t in rows], f"idx bigint, source string, history array<{item}>, target_item struct<target_review_text:string,kinds:int>")
     assert sorted((r.idx or 0, r.item_pos, r.kind) for r in P.found(df).collect()) == [(0, 1, "email"), (1, 0, "phone"), (1, 1, "email"), (3, 1, "phone")]
     assert P.found(df.limit(0)).count() == 0
+
+
+FAR = "The soup was warm and the room was quiet, so we stayed until late. " * 3
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        (f"We met Anna Kowalski at the door. {FAR}In the end Kowalski waved.", ["Anna Kowalski", "Kowalski"]),
+        (f"We met Anna Kowalski at the door. {FAR}Kowalski's dog and KOWALSKI were there, Kowalsky too.", ["Anna Kowalski", "Kowalski's", "KOWALSKI", "Kowalsky"]),
+        ("Told Leila Quorvand. Then Quorvand left with Leila.", ["Leila Quorvand", "Quorvand"]), (f"Ask for Dr. Oyelaren. {FAR}Oyelaren said sorry.", ["Dr. Oyelaren", "Oyelaren"]),
+        (f"{FAR}Kowalski waved.", []), (f"We met Anna Kowalski at the door. {FAR}Kovacs waved.", ["Anna Kowalski"]), (f"We met Anna Baker at the door. {FAR}The baker sits on Baker Street.", ["Anna Baker"]),
+    ],
+)
+def test_family_names_that_come_again(field, text, names):
+    assert [text[a:b] for a, b, k in field.entities(text) if k == P.NAME] == names
+
+
+def test_alike():
+    assert P.alike("Kowalski", "KOWALSKI’s") and P.alike("kowalski", "kowalskis") and P.alike("kowalski", "kowalsky")
+    assert not P.alike("lee", "leeds") and not P.alike("kowalski", "bowalski") and not P.alike("anders", "sanders")
