@@ -217,9 +217,10 @@ def mf_fallback_score(spark, d):
     return scoring.global_rating_scores(a, e).select("index", r6("mf_score").alias("mf_score"))
 
 
-def mf_precomputed_score(spark, d):
+def mf_precomputed_score(spark, d, two_thirds=True):
     e = given(spark, d)
-    p = ratings.bias_predictions(mf_rows(spark, d), e).filter("idx % 3 <> 0").select("user_id", "business_id", "score", F.col("idx").alias("pos"))
+    p = ratings.bias_predictions(mf_rows(spark, d), e)
+    p = (p.filter("idx % 3 <> 0") if two_thirds else p).select("user_id", "business_id", "score", F.col("idx").alias("pos"))
     return scoring.precomputed_scores(e.select(F.col("idx").alias("index")), e, p).select("index", r6("mf_score").alias("mf_score"))
 
 
@@ -335,3 +336,5 @@ QUERIES = {n: globals()[n] for n in NAMES.split()}
 QUERIES |= {f"{n}_all": partial(globals()[n], sampled=False) for n in ("target_item", "history_items", "examples_built")}
 #: The same over the arguments of all records whose answer could be read; the queries without _all keep the valid ones that their SQL states.
 QUERIES |= {f"{n}_all": partial(globals()[n], only_valid=False) for n in "arguments scoring_prompt llm_score_parse score_arguments score_summary graph_nodes graph_edges graph_supporters dfquad_root graph_layout tooltip_html".split()}
+#: The same with the predictions of all examples; the query without _all leaves out those that its SQL leaves out.
+QUERIES["mf_precomputed_score_all"] = partial(mf_precomputed_score, two_thirds=False)

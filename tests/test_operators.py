@@ -272,3 +272,20 @@ def test_evidence_that_is_one_text_is_kept(spark):
     item = "struct<name:string,categories:array<string>,attributes:map<string,string>,user_stars:double,global_stars:double>"
     prompts = rows.withColumns({"h": F.expr(f"cast(null as array<{item}>)"), "t": F.expr(f"cast(null as {item})")}).orderBy("pos").select(text.scoring_prompt(F.col("h"), F.col("t"), F.col("id"), F.col("arg_type"), F.col("text"), F.col("evidence"), F.col("bare"))).collect()
     assert prompts[0][0].endswith('\nevidence: "Pho \\"Bar\\""') and prompts[1][0].endswith('\nevidence: ["Pho Bar"]')
+
+
+def test_precomputed_scores_of_all_predictions(spark, data):
+    from dialectica.plans import core
+
+    predicted = core.QUERIES["mf_bias_predictions"](spark, data).collect()
+    last = {(r.user_id, r.business_id): r.score for r in sorted(predicted, key=lambda r: r.idx)}
+    keys = {r.idx: (r.user_id, r.target_item and r.target_item.business_id) for r in core.given(spark, data).collect()}
+    got = {r["index"]: r.mf_score for r in core.QUERIES["mf_precomputed_score_all"](spark, data).collect()}
+    assert set(got) == set(keys) and all(abs(got[i] - last.get(k, 0.5)) < 1e-5 for i, k in keys.items())
+    assert any(i % 3 == 0 and got[i] != 0.5 for i in got)
+
+
+def test_a_prediction_that_is_missing_gives_the_default(spark):
+    e = spark.createDataFrame([(1, "u", ("b",)), (3, "u", ("c",))], "idx bigint, user_id string, target_item struct<business_id:string>")
+    p = spark.createDataFrame([("u", "b", 0.9, 1)], "user_id string, business_id string, score double, pos bigint")
+    assert {r["index"]: r.mf_score for r in scoring.precomputed_scores(e.select(F.col("idx").alias("index")), e, p).collect()} == {1: 0.9, 3: 0.5}
