@@ -170,9 +170,13 @@ class Mixer:
     def uses(self) -> DataFrame:
         """mix_id, doc_id, source, n_tokens, uses: the chosen documents with their numbers of uses (1 or more)."""
         by = self.slots().groupBy("source", "block", "mix_id").agg(F.count_if(F.col("upto").isNull()).alias("whole"), F.max("upto").alias("upto"))
+        return self._documents(by)
+
+    def _documents(self, by: DataFrame, *keys: str) -> DataFrame:
+        """The documents of the blocks `by`; of a block that isn't whole, those up to the wanted tokens."""
         df = self.docs.join(by, ["source", "block"])
         cut = F.when(F.col("place") + F.col("n_tokens") / 2 <= F.col("upto"), 1).otherwise(0)
-        return df.select("mix_id", "doc_id", "source", "n_tokens", (F.col("whole") + cut).cast("bigint").alias("uses")).filter("uses > 0")
+        return df.select("mix_id", *keys, "doc_id", "source", "n_tokens", (F.col("whole") + cut).cast("bigint").alias("uses")).filter("uses > 0")
 
     def shares(self) -> DataFrame:
         """For each mix and source the target share, wanted, available and chosen tokens, the actual share of the mix and of its wanted size."""
@@ -204,3 +208,8 @@ class Mixer:
         df = self.slots().join(n, ["mix_id", "source"]).join(ends, ["mix_id", "source"])
         at = F.col("epoch") * F.col("blocks") + F.col("j")
         return df.withColumn("at", at).withColumn("shard", F.expr("cast(size(filter(ends, e -> e <= at)) as bigint)")).drop("ends", "at", "blocks")
+
+    def shard_documents(self) -> DataFrame:
+        """mix_id, shard, doc_id, source, n_tokens, uses: the documents of every output shard; uses of all shards add up to those of uses()."""
+        by = self.assigned().groupBy("source", "block", "mix_id", "shard").agg(F.count_if(F.col("upto").isNull()).alias("whole"), F.max("upto").alias("upto"))
+        return self._documents(by, "shard")

@@ -56,6 +56,10 @@ def p7_shards(spark: SparkSession, folder: str) -> DataFrame:
     return _mixer(spark, folder).shard_counts()
 
 
+def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixer(spark, folder).shard_documents()
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return spam.found(table(spark, folder, "documents"))
 
@@ -65,5 +69,5 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return spam.score(documents, spam.train(documents))
 
 
-QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rates": p1_rates, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rates": p1_rates, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p7_documents": p7_documents, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLE: dict[str, str] = {}

@@ -75,3 +75,17 @@ def test_empty(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string, source string")
     m = spark.createDataFrame([("m", "a", 1.0, 1, 1.0)], "mix_id string, source string, weight double, max_repeats bigint, size_factor double")
     assert mixing.Mixer(d, m).uses().count() == 0 and mixing.Mixer(d, m.limit(0)).shares().count() == 0 and mixing.Mixer(d, m).shares().count() == 1
+
+
+def test_documents_of_shards_add_up_to_the_uses(mixer):
+    rows, got = mixer.shard_documents().collect(), Counter()
+    assert len({(r.mix_id, r.shard, r.doc_id) for r in rows}) == len(rows) and {r.shard for r in rows} == set(range(4))
+    for r in rows:
+        got[r.mix_id, r.doc_id] += r.uses
+    assert got == Counter({(r.mix_id, r.doc_id): r.uses for r in mixer.uses().collect()})
+
+
+def test_documents_of_shards_are_a_query():
+    from dialectica.llm import queries
+
+    assert "p7_documents" in queries.QUERIES
