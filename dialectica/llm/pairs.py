@@ -87,11 +87,20 @@ def language(text: str) -> tuple[str, float, float]:
     return order[0][0], order[0][1], order[0][1] - (order[1][1] if len(order) > 1 else 0.0)
 
 
+#: A { up to NEAR characters from the start opens the answer; farther on, only one that opens an object of arguments, or at which the text is cut.
+NEAR = 200
+LATE = regex.compile(r"""\{\s*(?:["']arguments["']\s*:|["']?\w*\s*$)""")
+
+
 def open_ended(text: str) -> bool | None:
     """Whether brackets or a string are left open; None if the answer isn't of that form."""
     s = regex.sub(r"^\s*>?\s*(?:```\w*\s*)?", "", text)
     at = s.find("{") if s[:1] not in "{[" else 0
-    if at < 0 or at > 200 or at > 0 and regex.search(r"A\d+\s*\((?:support|attack)\)", s[:at]):
+    if at > NEAR and (m := LATE.search(s)):
+        at = m.start()
+    elif at > NEAR:
+        return None
+    if at < 0 or at > 0 and regex.search(r"A\d+\s*\((?:support|attack)\)", s[:at]):
         return None
     depth, quote, skip = 0, "", False
     for c in s[at:]:
@@ -223,6 +232,8 @@ def votes(prompt: str | None, raw: str | None) -> dict[str, str]:
             )
 
     open_ = open_ended(text)
+    if share >= 0.5 and 0 <= NEAR < text.find("{"):
+        open_ = None  # braces of the copied prompt
     tail = regex.sub(r"[\s\"'`)}\]]+$", "", bare)
     json_like = open_ is not None
     ended = bool(tail) and tail[-1] in ENDS and not CUT.search(text)

@@ -88,3 +88,14 @@ def test_edges(spark):
     assert got[1] == "empty" and got[3] == "empty" and got.get(2) not in ("other_language", "copies_prompt")
     assert P.found(df.limit(0)).count() == 0
     assert P.labels(P.posteriors(df)).filter("`index` = 1 and defect = 'empty'").count() == 2
+
+
+def test_answers_behind_a_long_preamble():
+    from dialectica.llm import pairs
+
+    preamble = "Here is what I make of this guest and of the place that they may visit next. " * 4
+    whole = '{"arguments": [{"id": "A1", "type": "support", "text": "They like noodles.", "evidence": ["Pho Bar"]}]}'
+    assert len(preamble) > 200 and pairs.open_ended(preamble + whole) is False and pairs.open_ended(preamble + whole[:-30]) is True
+    assert pairs.open_ended(preamble + "with {braces} only") is None and pairs.open_ended(preamble) is None
+    prompt = "Give two arguments for the guest."
+    assert "+" not in pairs.votes(prompt, preamble + whole)["truncated"] and pairs.votes(prompt, preamble + whole[:-40])["truncated"][0] == "+"
