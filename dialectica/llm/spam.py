@@ -60,8 +60,10 @@ _CUT = regex.compile(r"\n+|<br ?/?>|(?<=[.!?…])\s+|(?<=[。！？])")
 SHORT, WORD_BACK, PHRASE_BACK, LINK_BACK = 6, 14, 120, 24
 #: A block is abnormal beyond mean + HIGH + SPREAD x deviation / sqrt(tokens) bits a token, or below mean - LOW.
 HIGH, SPREAD, LOW = 1.2, 0.95, 1.75
-#: A page is flagged only if its abnormal blocks are this many bits away from prose, together, and it has LEAST characters.
-EVIDENCE, LEAST = 25.0, 40
+#: A page is flagged only if its abnormal blocks are this many bits away from prose, together, and it has LEAST characters, a Chinese, Japanese or Korean one counting twice, or LISTED tags or separators.
+EVIDENCE, LEAST, LISTED = 25.0, 40, 3
+WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+LIST_SIGN = regex.compile(r"(?<!\S)[#＃]\p{L}|[·|｜•»]|\s>\s|https?://")
 _POINTS = frozenset(".,!?:;()\"'…。、，！？")
 _SEPARATORS = frozenset("|·•*/>;»~=#›—")
 
@@ -238,7 +240,7 @@ class Model:
             worst = max(worst, abs(v - self.mean))
         if not tokens:
             return None, None, 0.0, False
-        return 2 ** min(60.0, bits / tokens), worst, bad / max(1, total), bad > 0.5 * total and evidence >= EVIDENCE and total >= LEAST
+        return 2 ** min(60.0, bits / tokens), worst, bad / max(1, total), bad > 0.5 * total and evidence >= EVIDENCE and (total >= LEAST or total + len(WIDE.findall(text)) >= LEAST or len(LIST_SIGN.findall(text)) >= LISTED)
 
 
 def ngrams(seq: list[str], into: Counter) -> None:

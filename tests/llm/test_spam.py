@@ -47,3 +47,10 @@ def test_edges(spark, model):
     out = {r.doc_id: r for r in spam.score(df, model).collect()}
     assert out[4].spam and not out[6].spam and not out[1].spam and out[2].perplexity is None and not out[None].spam and not out[5].spam
     assert [r.doc_id for r in spam.found(df.limit(0)).collect()] == []
+
+
+def test_short_pages(model):
+    for t in ("#food #yum #pizza #nyc #deal", "sushi · ramen · sushi · udon · sushi", "寿司｜安い寿司｜寿司 予約｜寿司 配達｜寿司"):
+        assert len(t) < 40 and model.page(t)[3], (t, model.page(t))
+    for t in ("Loved the soup!", "Great.", "ok", "Open 9-17 | Mon", "店の雰囲気が良かったです。", "#food"):
+        assert not model.page(t)[3], t
