@@ -146,6 +146,15 @@ def whole(c: Column) -> Column:
     return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
 
 
+def number(c: Column) -> Column:
+    """A double as text: the shortest digits, with an exponent only below 0.0001."""
+    d = c.cast("double")
+    s = d.cast("string")
+    small = F.rtrim(d.cast("decimal(38,30)").cast("string"), F.lit("0"))
+    tiny = F.regexp_replace(F.regexp_replace(F.replace(F.lower(s), F.lit(".0e"), F.lit("e")), r"e-(\d)$", "e-0$1"), r"e(\d)", "e+$1")
+    return F.when((F.abs(d) < 1e-3) & (F.abs(d) >= 1e-4), small).when((F.abs(d) < 1e-4) & (d != 0), tiny).otherwise(s)
+
+
 def attribute_pairs(m: Column) -> Column:
     """(label, value) of the shown attributes that have a value, in their fixed order."""
     shown = F.array(*(F.struct(F.lit(key).alias("key"), F.lit(label).alias("label")) for key, label in ATTRIBUTE_LABELS.items()))
@@ -204,10 +213,14 @@ def argument_prompt(history: Column, target: Column) -> Column:
     return fill(ARGUMENT_PROMPT, history=history_text(history), target=target_text(target))
 
 
+def json_text(c: Column) -> Column:
+    """A text as a JSON string, letters unescaped."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
 def json_array(texts: Column) -> Column:
     """An array of texts as a JSON array with ', ' between its elements, letters unescaped."""
-    quoted = F.transform(texts, lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, json_text), ", "), F.lit("]"))
 
 
 def scoring_prompt(history: Column, target: Column, id_: Column, type_: Column, text: Column, evidence: Column, bare: Column | None = None) -> Column:

@@ -6,16 +6,12 @@ import random
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialectica.functions import text
 from dialectica.session import materialize
 
-#: Fixed value: the message that goes before every prompt.
-SYSTEM_MESSAGE = "You generate structured recommendation arguments. You must answer with valid JSON only."
-
-
 def select_slice(examples: DataFrame, start: int, count: int, key: str = "idx") -> DataFrame:
     """Examples number start to start + count - 1."""
     if start < 0 or count < 0:
@@ -24,13 +20,19 @@ def select_slice(examples: DataFrame, start: int, count: int, key: str = "idx")
 
 
 def select_random(examples: DataFrame, count: int, seed: int | None, key: str = "idx") -> DataFrame:
-    """count examples drawn without replacement, with draw (the order of drawing). The draw itself is a list of count numbers."""
+    """count examples drawn without replacement, with draw (the order of drawing); keys are distinct, and may have gaps. The draw itself is a list of count numbers."""
     total = examples.count()
     if count > total:
         raise ValueError(f"{count} of {total} examples")
     drawn = random.Random(seed).sample(range(total), count)
-    rows = examples.sparkSession.createDataFrame([(k, i) for i, k in enumerate(drawn)], f"{key} bigint, draw bigint")
-    return examples.join(rows, key)
+    rows = examples.sparkSession.createDataFrame([(k, i) for i, k in enumerate(drawn)], "__number bigint, draw bigint")
+    # Keys may have gaps, so the rows are numbered: places in the order of the keys, counted range by range.
+    keys = materialize(examples.select(key).orderBy(key).withColumn("__row", F.monotonically_increasing_id()))
+    part = F.shiftright("__row", 33)
+    sizes = keys.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    sizes = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    keys = keys.withColumn("__part", part).join(sizes, "__part").select(key, (F.col("__before") + F.col("__row").bitwiseAND((1 << 33) - 1)).alias("__number"))
+    return examples.join(keys.join(rows, "__number").select(key, "draw"), key)
 
 
 def one(records: DataFrame, number: int, key: str = "index", order: str | None = None) -> DataFrame:
@@ -80,10 +82,3 @@ def template_answer(history: Column, target: Column) -> Column:
     ]
     parts = [F.concat(F.lit(f'{{"id": "{i}", "type": "{t}", "text": '), quote(s), F.lit(', "evidence": ['), quote(e), F.lit("]}")) for i, t, s, e in args]
     return F.concat(F.lit('{"arguments": ['), F.concat_ws(", ", *parts), F.lit("]}"))
-
-
-class TemplateModel:
-    """Stands in for a model behind the hook: answers every prompt with a fixed valid scoring text."""
-
-    def __call__(self, prompts: list[str]) -> list[str]:
-        return ['{"score": 0.5, "reason": "template"}' for _ in prompts]

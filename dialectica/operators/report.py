@@ -41,15 +41,34 @@ def validity_counts(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("n"), F.count_if(v).alias("valid"), F.count_if(~v).alias("invalid"))
 
 
-def record_report(records: DataFrame, show_prompt: bool = False, show_raw: bool = False) -> DataFrame:
-    """index and report: the readable form of each record."""
+def _or_none(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("None"))
+
+
+def scored_report(scored: Column, show_prompt: bool = False, show_raw: bool = False) -> Column:
+    """The readable form of scored arguments."""
+    shown = [("ID", "id"), ("Type", "arg_type"), ("Text", "text"), ("Evidence", "evidence"), ("LLM score", "llm_score"), ("LLM reason", "llm_score_reason"), ("MF score", "mf_score"), ("Combined score", "combined_score")]
+    shown += [("Scoring prompt", "llm_scoring_prompt")] * show_prompt + [("Scoring answer", "llm_scoring_raw_output")] * show_raw
+    one = lambda a: F.concat_ws("\n", *(F.concat(F.lit(f"  {label}: "), _or_none(F.array_join(a[k], "; ") if k == "evidence" else a[k])) for label, k in shown))
+    return F.concat(F.lit("Scored arguments:\n"), F.coalesce(F.nullif(F.array_join(F.transform(scored, one), "\n\n"), F.lit("")), F.lit("None")))
+
+
+def record_report(records: DataFrame, show_prompt: bool = False, show_raw: bool = False, show_parsed: bool = False, show_scores: bool = False, show_llm_prompt: bool = False, show_llm_raw: bool = False) -> DataFrame:
+    """index and report: the readable form of each record. show_parsed and show_scores need parsed_json (VARIANT), scoring and scored_arguments."""
     e = F.array_join(F.transform("validation.errors", lambda x: F.concat(F.lit("  - "), x.code, F.lit(": "), x.message)), "\n")
     parts = [
-        F.concat(F.lit("Index: "), F.coalesce(F.col("index").cast("string"), F.lit("None"))), F.concat(F.lit("User: "), F.coalesce("user_id", F.lit("None"))), F.concat(F.lit("Target: "), F.coalesce("target_name", F.lit("None"))),
-        F.concat(F.lit("Valid: "), F.coalesce(F.initcap(F.col("validation.is_valid").cast("string")), F.lit("None"))), F.when(F.size("validation.errors") > 0, F.concat(F.lit("Errors:\n"), e)),
+        F.concat(F.lit("Index: "), _or_none(F.col("index"))), F.concat(F.lit("User: "), _or_none(F.col("user_id"))), F.concat(F.lit("Target: "), _or_none(F.col("target_name"))),
+        F.concat(F.lit("Valid: "), F.coalesce(F.initcap(F.col("validation.is_valid").cast("string")), F.lit("None"))),
     ]
+    if show_scores:
+        parts.append(F.when(F.col("scoring").isNotNull(), F.concat(F.lit("Scoring: "), F.to_json("scoring"))))
+    parts.append(F.when(F.size("validation.errors") > 0, F.concat(F.lit("Errors:\n"), e)))
     if show_prompt:
-        parts.append(F.concat(F.lit("Prompt:\n"), F.coalesce("prompt", F.lit("None"))))
+        parts.append(F.concat(F.lit("Prompt:\n"), _or_none(F.col("prompt"))))
+    if show_parsed:
+        parts.append(F.concat(F.lit("Parsed JSON:\n"), F.coalesce(F.to_json("parsed_json"), F.lit("None"))))
+    if show_scores:
+        parts.append(scored_report(F.col("scored_arguments"), show_llm_prompt, show_llm_raw))
     if show_raw:
-        parts.append(F.concat(F.lit("Raw output:\n"), F.coalesce("raw_output", F.lit("None"))))
+        parts.append(F.concat(F.lit("Raw output:\n"), _or_none(F.col("raw_output"))))
     return records.select("index", F.concat_ws("\n", *parts).alias("report"))

@@ -112,6 +112,13 @@ def validated(records: DataFrame, examples: DataFrame) -> DataFrame:
     return df.withColumn("errors", errors(F.col("parsed"), F.coalesce("names", none))).drop("names")
 
 
+def verdict(errors: Column) -> Column:
+    """The validation of a record as it is written to files: is_valid, errors, error_counts."""
+    count = lambda code: F.size(F.filter(errors, lambda e: e.code == code)).cast("bigint")
+    codes = F.array_distinct(F.transform(errors, lambda e: e.code))
+    return F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), F.map_from_entries(F.transform(codes, lambda c: F.struct(c, count(c)))).alias("error_counts"))
+
+
 def error_rows(checked: DataFrame) -> DataFrame:
     """index, pos (from 1), code, message of every error."""
     return checked.select("index", F.posexplode("errors").alias("pos", "e")).select("index", (F.col("pos") + 1).cast("bigint").alias("pos"), "e.code", "e.message")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from dialectica.functions import json, text
 from dialectica.operators import examples as ex
-from dialectica.operators import generation, graph, ratings, report, scoring, validate
-from dialectica.session import materialize, table
+from dialectica.operators import generation, graph, models, ratings, report, scoring, validate
+from dialectica.session import table
 from dialectica.sources import readers
 
 
@@ -172,43 +172,48 @@ def mf_als_predictions(spark, d):
     return ratings.als_predictions(mf_rows(spark, d), given(spark, d))
 
 
-def _gated(spark, d, only_valid=False):
+def _gated(spark, d, only_valid=False, keep=()):
     r = records(spark, d).withColumn("parsed", json.extract_object(F.col("raw_output"))).withColumn("is_valid", F.col("validation.is_valid"))
-    return scoring.gate(r, given(spark, d), only_valid)
+    return scoring.gate(r, given(spark, d), only_valid, keep)
 
 
 def score_gate(spark, d):
     return _gated(spark, d, True).groupBy(F.coalesce("skip", F.lit("scored")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def _arguments(spark, d, only_valid=True):
-    return scoring.argument_rows(_gated(spark, d, only_valid).filter("skip is null"))
+def _taken(spark, d, *keep):
+    """Records with readable JSON and a known example, with the example's columns."""
+    return _gated(spark, d, keep=("target_item", *keep)).filter("skip is null").withColumn("target_name", F.col("example.target_item.name"))
 
 
-def arguments(spark, d, only_valid=True):
-    return _arguments(spark, d, only_valid)[0].select("index", "pos", "id", "arg_type", "text", joined("evidence").alias("evidence"))
+def _arguments(spark, d, *keep):
+    return scoring.argument_rows(_taken(spark, d, *keep).select("index", "parsed", "example"))
+
+
+def arguments(spark, d):
+    return _arguments(spark, d)[0].select("index", "pos", "id", "arg_type", "text", joined("evidence").alias("evidence"))
 
 
 def argument_quarantine(spark, d):
-    return _arguments(spark, d, only_valid=False)[1]
+    return _arguments(spark, d)[1]
 
 
-def scoring_prompt(spark, d, only_valid=True):
-    a = _arguments(spark, d, only_valid)[0].join(given(spark, d).select(F.col("idx").alias("index"), "history", "target_item"), "index")
-    return a.select("index", "pos", text.scoring_prompt(F.col("history"), F.col("target_item"), F.col("id"), F.col("arg_type"), F.col("text"), F.col("evidence"), F.col("bare")).alias("prompt"))
+def scoring_prompt(spark, d):
+    e = F.col("example")
+    return _arguments(spark, d, "history")[0].select("index", "pos", text.scoring_prompt(e.history, e.target_item, F.col("id"), F.col("arg_type"), F.col("text"), F.col("evidence"), F.col("bare")).alias("prompt"))
 
 
-def scored_text() -> Column:
+def scored_text(index: Column, pos: Column) -> Column:
     """A stand-in for a model's scoring answers, computed from index and pos: scores up to 1.20, some answers without JSON."""
-    n = (F.col("index") * 31 + F.col("pos") * 17) % 121
+    n = (index * 31 + pos * 17) % 121
     number = F.concat((F.floor(n / 100)).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
-    good = F.concat(F.lit('Scores: {"score": '), number, F.lit(', "reason": " r'), F.col("pos").cast("string"), F.lit(' "}'))
-    return F.when((F.col("index") + F.col("pos")) % 7 == 0, "no answer").when((F.col("index") + F.col("pos")) % 11 == 0, F.lit('{"score": "0.8", "reason": ""}')).otherwise(good)
+    good = F.concat(F.lit('Scores: {"score": '), number, F.lit(', "reason": " r'), pos.cast("string"), F.lit(' "}'))
+    return F.when((index + pos) % 7 == 0, "no answer").when((index + pos) % 11 == 0, F.lit('{"score": "0.8", "reason": ""}')).otherwise(good)
 
 
-def llm_score_parse(spark, d, only_valid=True):
-    s, r = scoring.parse_score(scored_text())
-    return _arguments(spark, d, only_valid)[0].select("index", "pos", r6(s).alias("llm_score"), r.alias("llm_score_reason"))
+def llm_score_parse(spark, d):
+    s, r = scoring.parse_score(scored_text(F.col("index"), F.col("pos")))
+    return _arguments(spark, d)[0].select("index", "pos", r6(s).alias("llm_score"), r.alias("llm_score_reason"))
 
 
 def mf_fallback_score(spark, d):
@@ -217,77 +222,79 @@ def mf_fallback_score(spark, d):
     return scoring.global_rating_scores(a, e).select("index", r6("mf_score").alias("mf_score"))
 
 
-def mf_precomputed_score(spark, d, two_thirds=True):
+def mf_precomputed_score(spark, d):
     e = given(spark, d)
-    p = ratings.bias_predictions(mf_rows(spark, d), e)
-    p = (p.filter("idx % 3 <> 0") if two_thirds else p).select("user_id", "business_id", "score", F.col("idx").alias("pos"))
-    return scoring.precomputed_scores(e.select(F.col("idx").alias("index")), e, p).select("index", r6("mf_score").alias("mf_score"))
+    p = ratings.bias_predictions(mf_rows(spark, d), e).select("user_id", "business_id", "score", F.col("idx").alias("pos"))
+    rows = e.select(F.col("idx").alias("index"), "user_id", F.col("target_item.business_id").alias("b"))
+    return scoring.predicted_scores(rows, p, "user_id", "b").select("index", r6("mf_score").alias("mf_score"))
 
 
-def _scored(spark, d, only_valid=True):
-    a = scoring.global_rating_scores(_arguments(spark, d, only_valid)[0], given(spark, d))
-    return scoring.score_arguments(a, scored_text())
+def _scored(spark, d, *keep):
+    """Records with args, their scored arguments."""
+    df = scoring.with_arguments(_taken(spark, d, *keep))
+    raw = lambda a: scored_text(F.col("index"), a.pos)
+    return df.withColumn("args", scoring.score_array(F.col("args"), raw, scoring.global_rating(F.col("example.target_item"))))
 
 
-def _scored_once(spark, d, only_valid=True):
-    """Scored arguments, kept: nodes and edges read them several times."""
-    return materialize(_scored(spark, d, only_valid))
+def score_arguments(spark, d):
+    return _scored(spark, d).select("index", F.inline("args")).select("index", "pos", "id", "arg_type", r6("llm_score").alias("llm_score"), r6("mf_score").alias("mf_score"), r6("combined_score").alias("combined_score"))
 
 
-def score_arguments(spark, d, only_valid=True):
-    return _scored(spark, d, only_valid).select("index", "pos", "id", "arg_type", r6("llm_score").alias("llm_score"), r6("mf_score").alias("mf_score"), r6("combined_score").alias("combined_score"))
+def score_summary(spark, d):
+    s = scoring.summary(_scored(spark, d).select("index", F.inline("args")))
+    return s.select(*(r6(c).alias(c) if c.startswith("avg") else F.col(c) for c in s.columns))
 
 
-def score_summary(spark, d, only_valid=True):
-    s = scoring.summary(_scored(spark, d, only_valid))
-    return s.select(*(r6(c).alias(c) if c.startswith("avg") else F.col(c) for c in s.columns))
+def _graphs(spark, d, *keep):
+    return graph.with_graph(_scored(spark, d, *keep))
 
 
-def graph_nodes(spark, d, only_valid=True):
-    return graph.nodes(_scored_once(spark, d, only_valid)).select("index", "node_id", "node_type", "text", r6("base_score").alias("base_score"))
+def graph_nodes(spark, d):
+    return _graphs(spark, d).select("index", F.inline("nodes")).select("index", "node_id", "node_type", "text", r6("base_score").alias("base_score"))
 
 
-def graph_edges(spark, d, only_valid=True):
-    return graph.edges(_scored(spark, d, only_valid))
+def graph_edges(spark, d):
+    return _graphs(spark, d).select("index", F.inline("edges"))
 
 
-def graph_supporters(spark, d, only_valid=True):
-    s = _scored_once(spark, d, only_valid)
-    return graph.linked(graph.edges(s), graph.nodes(s)).select("index", "pos", "source_id", "relation_type", r6("base_score").alias("base_score"))
+def graph_supporters(spark, d):
+    return graph.linked(_graphs(spark, d)).select("index", F.inline("links")).select("index", "pos", "source_id", "relation_type", r6("base_score").alias("base_score"))
 
 
-def _evaluated(spark, d, only_valid=True):
-    s = _scored_once(spark, d, only_valid)
-    return graph.evaluate(graph.edges(s), graph.nodes(s))
+def dfquad_root(spark, d):
+    return graph.evaluate(_graphs(spark, d)).select("index", "root_text", *(r6(c).alias(c) for c in ("root_base_score", "aggregated_support", "aggregated_attack", "final_score")))
 
 
-def dfquad_root(spark, d, only_valid=True):
-    return _evaluated(spark, d, only_valid).select("index", "root_text", *(r6(c).alias(c) for c in ("root_base_score", "aggregated_support", "aggregated_attack", "final_score")))
+def argument_graph(spark, d):
+    """The graphs as they are written to files: one object each."""
+    return _graphs(spark, d).select("index", F.to_json(graph.graph_object(F.col("nodes"), F.col("edges"))).alias("graph"))
 
 
 def context_summary(spark, d):
-    c = graph.context(given(spark, d))
-    return c.select("idx", "user_id", F.col("target.name").alias("target"), r6("target.normalized_user_target_score").alias("target_score"), F.coalesce(F.size("target.attributes"), F.lit(0)).cast("bigint").alias("n_attributes"), joined(F.transform("history", lambda h: h["name"])).alias("history"))
+    c = graph.context(given(spark, d)).select("idx", "context.*")
+    return c.select("idx", "user_id", F.col("target_item.name").alias("target"), r6("target_item.normalized_user_target_score").alias("target_score"), F.coalesce(F.size("target_item.attributes"), F.lit(0)).cast("bigint").alias("n_attributes"), joined(F.transform("history", lambda h: h["name"])).alias("history"))
 
 
-def graph_layout(spark, d, only_valid=True):
-    s = _scored_once(spark, d, only_valid)
-    return graph.layout(graph.edges(s), graph.nodes(s)).select("index", "node_id", r6("x").alias("x"), r6("y").alias("y"))
+def graph_layout(spark, d):
+    return _graphs(spark, d).select("index", F.inline(graph.layout(F.col("nodes"), F.col("edges")))).select("index", "node_id", r6("x").alias("x"), r6("y").alias("y"))
 
 
-def tooltip_html(spark, d, only_valid=True):
-    n = graph.nodes(_scored_once(spark, d, only_valid)).withColumns({c: F.lit(None).cast("double") for c in ("llm_score", "mf_score", "combined_score")}).withColumn("base_score", F.lit(0.5))
-    return n.select("index", "node_id", graph.tooltip().alias("tooltip"))
+def tooltip_html(spark, d):
+    return _graphs(spark, d).select("index", F.inline(F.transform("nodes", lambda n: F.struct(n.node_id.alias("node_id"), graph.tooltip(n).alias("tooltip")))))
 
 
 def history_html(spark, d):
-    return graph.context(given(spark, d)).select("idx", graph.history_panel(F.col("history")).alias("html"))
+    return graph.context(given(spark, d)).select("idx", graph.history_panel(F.col("context.history")).alias("html"))
+
+
+def context_html(spark, d):
+    return graph.context(given(spark, d)).select("idx", graph.context_panel(F.col("context")).alias("html"))
 
 
-def graph_pages(spark, d, only_valid=False):
-    s = _scored_once(spark, d, only_valid)
-    e, n = graph.edges(s), graph.nodes(s)
-    return graph.pages(n, e, graph.evaluate(e, n))
+def graph_pages(spark, d):
+    e = F.col("example")
+    g = graph.evaluate(_graphs(spark, d, "user_id", "history"))
+    return graph.pages(g.withColumn("context", graph.context_of(e.user_id, e.history, e.target_item)))
 
 
 def select_slice(spark, d):
@@ -310,31 +317,32 @@ def template_validation(spark, d):
     return validate.validated(template_answers(spark, d), given(spark, d)).select("index", F.size("errors").cast("bigint").alias("n_errors"))
 
 
-def generated_scores(spark, d, only_valid=False):
+def generated_scores(spark, d):
     """The scoring prompts through the inference hook, each distinct prompt once."""
-    p = scoring_prompt(spark, d, only_valid)
-    g = generation.infer(p, "prompt", generation.TemplateModel)
+    p = scoring_prompt(spark, d)
+    g = generation.infer(p, "prompt", models.TemplateModel)
     s, r = scoring.parse_score(F.col("raw_output"))
     return g.select("index", "pos", s.alias("llm_score"), r.alias("reason"))
 
 
 def predictions_parsed(spark, d):
-    """Predictions of both file layouts, made from the examples, as the precomputed scorer reads them."""
-    e = given(spark, d).filter("user_id is not null and target_item.business_id is not null").select("idx", "user_id", F.col("target_item.business_id").alias("b"))
-    one = F.concat(F.lit('[{"user_id": "'), "user_id", F.lit('", "business_id": "'), "b", F.lit('", "score": 0.25}]'))
-    two = F.concat(F.lit('{"'), "user_id", F.lit("|||"), "b", F.lit('": 0.75, "bad": 1}'))
-    return readers.parse_predictions(e.select(F.when(F.col("idx") % 2 == 0, one).otherwise(two).alias("value"))).drop("pos")
+    """Predictions of both file layouts, made from the examples, with rows of wrong types, as the precomputed scorer reads them."""
+    e = given(spark, d).filter("user_id is not null and target_item.business_id is not null").select("idx", text.json_text(F.col("user_id")).alias("u"), text.json_text(F.col("target_item.business_id")).alias("b"))
+    n = (F.col("idx") % 100).cast("string")
+    row = lambda u, b, score: F.concat(F.lit('{"user_id": '), u, F.lit(', "business_id": '), b, F.lit(', "score": '), score, F.lit("}"))
+    u, b = F.col("u"), F.col("b")
+    listed = [row(u, b, F.concat(n, F.lit("e-2"))), row(F.lit("7"), b, n), row(u, F.lit("null"), n), row(u, b, F.concat(F.lit('"'), n, F.lit('"'))), row(u, b, F.lit("true")), F.lit("null"), F.lit("3"), F.lit('{"score": 1}'), row(u, b, F.lit("[1]"))]
+    one = F.concat(F.lit("["), F.concat_ws(", ", *listed), F.lit("]"))
+    key = F.concat(F.rtrim(u, F.lit('"')), F.lit("|||"), F.ltrim(b, F.lit('"')))
+    two = F.concat(F.lit("{"), key, F.lit(": "), n, F.lit(', "bad": 1, "a|||b": "0.5", "c|||d": null}'))
+    return readers.parse_predictions(e.select(F.when(F.col("idx") % 2 == 0, one).when(F.col("idx") % 3 == 0, F.lit("7")).otherwise(two).alias("value"))).drop("pos")
 
 
 NAMES = """business_clean review_semi_join user_activity user_activity_tight user_sample target_item history_items examples_built example_summary attribute_clean
 attribute_text history_prompt target_prompt argument_prompt json_extract validation_errors validation_messages validation_status error_counts valid_split invalid_records record_report
 mf_rows mf_rows_with_target mf_summary mf_bias_predictions mf_als_predictions score_gate arguments argument_quarantine scoring_prompt llm_score_parse mf_fallback_score mf_precomputed_score
-score_arguments score_summary graph_nodes graph_edges graph_supporters dfquad_root context_summary graph_layout tooltip_html history_html graph_pages select_slice record_lookup
+score_arguments score_summary graph_nodes graph_edges graph_supporters dfquad_root argument_graph context_summary graph_layout tooltip_html history_html context_html graph_pages select_slice record_lookup
 random_examples template_answers template_validation generated_scores predictions_parsed"""
 QUERIES = {n: globals()[n] for n in NAMES.split()}
-#: The same over all users with enough reviews; the queries without _all keep the sample that their SQL states.
+#: The same over all users with enough reviews; the queries without _all take the sample of at most SAMPLE users.
 QUERIES |= {f"{n}_all": partial(globals()[n], sampled=False) for n in ("target_item", "history_items", "examples_built")}
-#: The same over the arguments of all records whose answer could be read; the queries without _all keep the valid ones that their SQL states.
-QUERIES |= {f"{n}_all": partial(globals()[n], only_valid=False) for n in "arguments scoring_prompt llm_score_parse score_arguments score_summary graph_nodes graph_edges graph_supporters dfquad_root graph_layout tooltip_html".split()}
-#: The same with the predictions of all examples; the query without _all leaves out those that its SQL leaves out.
-QUERIES["mf_precomputed_score_all"] = partial(mf_precomputed_score, two_thirds=False)
