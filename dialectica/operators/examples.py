@@ -97,10 +97,12 @@ def build_examples(reviews: DataFrame, businesses: DataFrame, users: DataFrame)
     return df.filter("missing = 0").drop("missing")
 
 
-def once(examples: DataFrame, key: str = "idx", order: str = "ingested_at") -> DataFrame:
+def once(examples: DataFrame, key: str = "idx", order: str = "ingested_at", ties: tuple[str, ...] = ()) -> DataFrame:
     """Examples delivered several times, once: the first delivery; rows of a null key count as one.
 
+    Rows of one key and time are one delivery, of which any row may stay; where they can differ, `ties` names the columns that decide (the least values first).
+
     A rank with a limit of 1 is cut down before the shuffle, and columns that aren't used behind it aren't read.
     """
-    w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last())
+    w = Window.partitionBy(key).orderBy(F.col(order).asc_nulls_last(), *ties)
     return examples.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")

@@ -6,11 +6,11 @@ import random
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialectica.functions import text
-from dialectica.session import materialize
+from dialectica.session import materialize, numbered
 
 def select_slice(examples: DataFrame, start: int, count: int, key: str = "idx") -> DataFrame:
     """Examples number start to start + count - 1."""
@@ -26,12 +26,8 @@ def select_random(examples: DataFrame, count: int, seed: int | None, key: str =
         raise ValueError(f"{count} of {total} examples")
     drawn = random.Random(seed).sample(range(total), count)
     rows = examples.sparkSession.createDataFrame([(k, i) for i, k in enumerate(drawn)], "__number bigint, draw bigint")
-    # Keys may have gaps, so the rows are numbered: places in the order of the keys, counted range by range.
-    keys = materialize(examples.select(key).orderBy(key).withColumn("__row", F.monotonically_increasing_id()))
-    part = F.shiftright("__row", 33)
-    sizes = keys.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
-    sizes = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    keys = keys.withColumn("__part", part).join(sizes, "__part").select(key, (F.col("__before") + F.col("__row").bitwiseAND((1 << 33) - 1)).alias("__number"))
+    # Keys may have gaps, so their places are drawn.
+    keys = numbered(examples.select(key), "__number")
     return examples.join(keys.join(rows, "__number").select(key, "draw"), key)
 
 

@@ -2,8 +2,9 @@
 
 Every record is a tree. A depth-first traversal gives each node its pre-order and post-order number and its level;
 node d lies below node a exactly when pre(d) > pre(a) and post(d) < post(a), and a has post - pre + level nodes below
-it, which stand right behind it in pre-order. The nodes of a record stay together in one array, so that links by
-containment are slices of that array and need no shuffle; `node_table` gives the flat table of one kind of node.
+it, which stand right behind it in pre-order; the node that holds d is the last one before d on the level above. The
+nodes of a record stay together in one array, so that links by containment are slices of that array and need no
+shuffle; `flat_tables` gives a flat table of each type of node.
 
 Kinds: example, item (a history item or the target), attributes, object, array, leaf, field (a plain field of the
 example or an item; only with fields=True).
@@ -12,7 +13,8 @@ Defined results: text that isn't a JSON object, or holds none, has no nodes; a n
 wrapped in outer objects or be JSON inside a JSON string; a history that is one item is place 1, keys of a history
 that is an object are places (other keys than whole numbers give no item), null items keep their place and have no
 node; an empty object has no leaf, an array without objects is one leaf, an array holding objects counts its elements
-from 0; text that spells an object or array, as JSON or as a Python literal, is that object or array; attributes as a
+from 0; an example may be JSON text within JSON text any number of times; JSON nested deeper than the interpreter's
+parser takes is text that can't be read (tests state a depth that it takes); text that spells an object or array, as JSON or as a Python literal, is that object or array; attributes as a
 list of name/value entries are an object of these names, the last of equal names counting.
 """
 
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 
 from dialectica.session import spread
 
-NODE = "array<struct<pre:int,post:int,level:int,kind:string,name:string,path:string,item_pos:bigint,value:string>>"
+NODE = "array<struct<pre:int,post:int,level:int,kind:string,name:string,path:string,item_pos:bigint,value:string,parent:int>>"
 _ARROW = pa.list_(
-    pa.struct([("pre", pa.int32()), ("post", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("path", pa.string()), ("item_pos", pa.int64()), ("value", pa.string())])
+    pa.struct([("pre", pa.int32()), ("post", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("path", pa.string()), ("item_pos", pa.int64()), ("value", pa.string()), ("parent", pa.int32())])
 )
 #: A place beyond this isn't a number of a history item.
 MOST_PLACE = 2**62
@@ -64,7 +66,7 @@ def readable(line: str | None) -> Any:
     if line is None:
         return None
     s = line.strip("﻿ \t\r\n")
-    for _ in range(8):
+    while True:  # every round takes off a pair of quotes at least
         try:
             v = json.loads(s)
         except (ValueError, RecursionError):
@@ -78,7 +80,6 @@ def readable(line: str | None) -> Any:
         if not isinstance(v, str):
             return v
         s = v.strip("﻿ \t\r\n")
-    return None
 
 
 def example_of(value: Any) -> dict | None:
@@ -147,12 +148,17 @@ class _Tree:
     """Nodes in pre-order; post-order numbers are filled in when a node is left."""
 
     def __init__(self) -> None:
-        self.cols: list[list] = [[] for _ in range(8)]
+        self.cols: list[list] = [[] for _ in range(9)]
         self.left = 0
+        #: The open node of each level.
+        self.open: list[int] = []
 
     def enter(self, level: int, kind: str, name: str | None, path: str | None, pos: int | None, value: str | None) -> int:
         k = len(self.cols[0])
-        for c, v in zip(self.cols, (k, -1, level, kind, name, path, pos, value)):
+        del self.open[level:]
+        parent = self.open[-1] if self.open else None
+        self.open.append(k)
+        for c, v in zip(self.cols, (k, -1, level, kind, name, path, pos, value, parent)):
             c.append(v)
         return k
 
@@ -218,7 +224,7 @@ def labelled(records: DataFrame, line: str, keys: list[str], fields: bool = Fals
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                cols: list[list] = [[] for _ in range(8)]
+                cols: list[list] = [[] for _ in range(9)]
                 offsets = [0]
                 for text in part.column(n):
                     for c, more in zip(cols, tree(example_of(readable(text.as_py())), fields)):
@@ -230,32 +236,32 @@ def labelled(records: DataFrame, line: str, keys: list[str], fields: bool = Fals
     return spread(records.select(*keys, F.col(line).alias("__line"))).mapInArrow(run, schema)
 
 
-def node_table(nodes: DataFrame, kind: str, keys: list[str]) -> DataFrame:
-    """The flat table of one kind of node, with its keys and interval labels."""
-    return nodes.select(*keys, F.inline(F.filter("nodes", lambda x: x.kind == kind)))
-
-
 def below(node: str = "a") -> str:
     """SQL: the nodes below `node`, by its interval."""
     return f"slice(nodes, {node}.pre + 2, {node}.post - {node}.pre + {node}.level)"
 
 
-def contained(nodes: DataFrame, outer: str, inner: str, keys: list[str]) -> DataFrame:
-    """keys, a and d: every node of kind `outer` with every node of kind `inner` in its interval."""
+def contained(nodes: DataFrame, outer: str, inner: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """keys, a and d: every node of kind `outer` with every node of the kinds `inner` in its interval."""
     df = nodes.select(*keys, "nodes", F.explode(F.filter("nodes", lambda x: x.kind == outer)).alias("a"))
-    return df.select(*keys, "a", F.explode(F.expr(f"filter({below()}, d -> d.kind = '{inner}' and d.post < a.post)")).alias("d"))
+    return df.select(*keys, "a", F.explode(F.expr(f"filter({below()}, d -> d.kind in ({', '.join(map(repr, inner))}) and d.post < a.post)")).alias("d"))
 
 
 def flat_tables(nodes: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
-    """examples, items and attributes, tied by the keys, item_pos and interval labels. nodes: with fields=True."""
+    """examples, items, objects (objects and arrays within attributes, and the attributes themselves) and attributes (leaves), tied by the keys, item_pos and interval labels. nodes: with fields=True.
+
+    item_pre is the item that holds a node, parent the node right above it: of an item the example, of the attributes the item, of all below an object.
+    """
     own = "map_from_entries(transform(filter({}, d -> d.kind = 'field' and d.level = a.level + 1), d -> struct(d.name, d.value)))"
     examples = nodes.select(*keys, "nodes", F.explode(F.filter("nodes", lambda x: x.kind == "example")).alias("a"))
     items = nodes.select(*keys, "nodes", F.explode(F.filter("nodes", lambda x: x.kind == "item")).alias("a"))
-    leaves = contained(nodes, "item", "leaf", keys)
+    leaves, objects = contained(nodes, "item", ("leaf",), keys), contained(nodes, "item", ("attributes", "object", "array"), keys)
+    place = ("d.pre", "d.post", "d.parent", "d.path")
     return {
         "examples": examples.select(*keys, "a.pre", "a.post", F.expr(own.format(below())).alias("fields")),
-        "items": items.select(*keys, "a.item_pos", "a.pre", "a.post", F.expr(own.format(below())).alias("fields")),
-        "attributes": leaves.select(*keys, "a.item_pos", F.col("a.pre").alias("item_pre"), "d.pre", "d.post", "d.path", "d.value"),
+        "items": items.select(*keys, "a.item_pos", "a.pre", "a.post", "a.parent", F.expr(own.format(below())).alias("fields")),
+        "objects": objects.select(*keys, "a.item_pos", F.col("a.pre").alias("item_pre"), *place, "d.kind", "d.name"),
+        "attributes": leaves.select(*keys, "a.item_pos", F.col("a.pre").alias("item_pre"), *place, "d.value"),
     }
 
 

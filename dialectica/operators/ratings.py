@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialectica.functions.score import normalize_rating
+from dialectica.session import numbered
 
 
 def rating_rows(examples: DataFrame, include_target: bool = False, deduplicate: bool = True) -> DataFrame:
@@ -43,13 +44,15 @@ def bias_predictions(rows: DataFrame, examples: DataFrame, shrink: float = 5.0)
 def als_predictions(rows: DataFrame, examples: DataFrame, rank: int = 20, rounds: int = 10, reg: float = 0.1, seed: int = 42) -> DataFrame:
     """As bias_predictions, with a latent-factor model (ALS) on the residuals of the bias model.
 
-    ALS needs whole numbers as ids: they come from tables of the distinct ids.
+    ALS needs whole numbers as ids: they number the distinct ids in their order, so the seed fixes the factors.
     """
     from pyspark.ml.recommendation import ALS
 
     mean, item, user = bias_model(rows)
-    users = rows.select("user_id").distinct().rdd.map(lambda r: r[0]).zipWithIndex().toDF("user_id string, u bigint")
-    items = rows.select("business_id").distinct().rdd.map(lambda r: r[0]).zipWithIndex().toDF("business_id string, i bigint")
+    users, items = (numbered(rows.select(c).distinct(), n) for c, n in (("user_id", "u"), ("business_id", "i")))
+    for ids, n in ((users, "u"), (items, "i")):
+        if (ids.agg(F.max(n)).first()[0] or 0) >= 2**31:
+            raise ValueError("more distinct ids than ALS can take")
     mu = mean.scalar()
     res = rows.join(item, "business_id").join(user, "user_id").join(users, "user_id").join(items, "business_id")
     res = res.select(F.col("u").cast("int"), F.col("i").cast("int"), (F.col("rating") - mu - F.col("b_i") - F.col("b_u")).cast("float").alias("r"))

@@ -60,9 +60,9 @@ def user_sample(spark, d):
 
 
 def _users(r, sampled):
-    """The sample of at most 100 users, which is small, or all users with enough reviews."""
+    """The sample of at most 100 users, or all users with enough reviews."""
     activity = ex.user_activity(r)
-    return F.broadcast(ex.sample_users(activity)) if sampled else ex.eligible_users(activity)
+    return ex.sample_users(activity) if sampled else ex.eligible_users(activity)
 
 
 def _split(spark, d, sampled=True):

@@ -41,4 +41,4 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cooccurrence.found(p3_pairs(spark, folder))
 
 
-QUERIES = {"p2_found": p2_found, "p2_examples": _flat("examples"), "p2_items": _flat("items"), "p2_attributes": _flat("attributes"), "p3_found": p3_found, "p3_pairs": p3_pairs}
+QUERIES = {"p2_found": p2_found, "p2_examples": _flat("examples"), "p2_items": _flat("items"), "p2_objects": _flat("objects"), "p2_attributes": _flat("attributes"), "p3_found": p3_found, "p3_pairs": p3_pairs}

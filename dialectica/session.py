@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Settings for a session this library starts itself; on a cluster the caller's session is used as it is.
 DEFAULTS = {
@@ -58,6 +59,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def numbered(keys: DataFrame, name: str = "number") -> DataFrame:
+    """Distinct keys (one column) numbered from 0 in their order: the same numbers on every run.
+
+    Sorted ranges are counted, and only the table of the ranges is summed in one task.
+    """
+    key = keys.columns[0]
+    rows = materialize(keys.orderBy(key).withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33)))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("__part", before.alias("__before")), "__part").select(key, (F.col("__before") + F.col("__row").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` below `folder`."""
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet") if "://" not in folder else f"{folder}/{name}.parquet")

@@ -32,10 +32,20 @@ def test_labels_are_intervals_and_give_the_leaves(attributes):
     for a in nodes:
         inside = [d for d in nodes if d[0] > a[0] and d[1] < a[1]]
         assert inside == nodes[a[0] + 1 : a[0] + 1 + a[1] - a[0] + a[2]]
+    for d in nodes:
+        above = [a for a in nodes if a[0] < d[0] and a[1] > d[1]]
+        assert d[8] == (above[-1][0] if above else None)
     item = next(n for n in nodes if n[3] == "item")
     assert sorted(n[5] for n in nodes if n[3] == "leaf" and n[0] > item[0] and n[1] < item[1]) == sorted(p for k, x in attributes.items() for p in leaves(x, k))
 
 
+def wrapped(value, times):
+    """JSON text within JSON text; quotes double each time, so a small value."""
+    for _ in range(times):
+        value = json.dumps(value)
+    return value
+
+
 def test_shapes_of_lines(spark):
     item = {"business_id": "b", "attributes": {"A": {"x": None, "y": {}}, "M": [{"price": 1}, {}], "L": [], "P": "{'u': True, u'v': [1]}", "J": ' {"k": null} ', "T": "[x"}}
     paths = {"", "A.x", "M[0].price", "L", "P.u", "P.v", "J.k", "T"}
@@ -43,22 +53,25 @@ def test_shapes_of_lines(spark):
     lines = [
         (1, json.dumps(one)), (1, json.dumps(one)), (2, json.dumps(json.dumps(one))), (3, json.dumps({"v": 2, "payload": {"record": one}})), (4, json.dumps({"history": {"3": item, "x": item}})), (5, json.dumps({"history": [None, item]})),
         (6, json.dumps(one)[:-9]), (7, None), (8, ""), (9, "# part done"), (10, "null"), (11, json.dumps({"target_item": {"attributes": [{"name": "A", "value": None}, {"name": "B", "value": {"c": 1}}]}})), (12, json.dumps({"target_item": {"attributes": json.dumps({"Z": 1})}})),
-        (13, json.dumps({"target_item": {}})), (14, "[" * 100_000), (15, json.dumps({"user_id": "u"})), (None, json.dumps({"target_item": {}})),
+        (13, json.dumps({"target_item": {}})), (16, wrapped(one, 10)), (14, "[" * 100_000), (15, json.dumps({"user_id": "u"})), (None, json.dumps({"target_item": {}})),
     ]
     df = spark.createDataFrame([(i, t, 0) for i, t in lines], "idx bigint, line string, nodes int")
     got = {}
     for r in nested.item_paths(nested.labelled(df, "line", ["idx"]), "idx").collect():
         assert r.attr_path not in got.setdefault((r.idx, r.item_pos), set())
         got[r.idx, r.item_pos].add(r.attr_path)
-    assert got == {(1, 1): paths, (2, 1): paths, (3, 1): paths, (4, 3): paths, (5, 2): paths, (11, 0): {"", "A", "B.c"}, (12, 0): {"", "Z"}, (13, 0): {""}, (None, 0): {""}}
+    assert got == {(1, 1): paths, (2, 1): paths, (3, 1): paths, (4, 3): paths, (5, 2): paths, (11, 0): {"", "A", "B.c"}, (12, 0): {"", "Z"}, (13, 0): {""}, (None, 0): {""}, (16, 1): paths}
+
+
+DEEP = 3000
 
 
 def test_deep_records(spark):
     deep = "null"
-    for _ in range(400):
+    for _ in range(DEEP):
         deep = '{"k": ' + deep + "}"
     df = spark.createDataFrame([(1, '{"target_item": {"attributes": ' + deep + "}}")], "idx bigint, line string")
-    assert [len(r.attr_path) for r in nested.item_paths(nested.labelled(df, "line", ["idx"]), "idx").orderBy("attr_path").collect()] == [0, 799]
+    assert [len(r.attr_path) for r in nested.item_paths(nested.labelled(df, "line", ["idx"]), "idx").orderBy("attr_path").collect()] == [0, 2 * DEEP - 1]
 
 
 def test_flat_tables(spark):
@@ -69,7 +82,24 @@ def test_flat_tables(spark):
     a = t["attributes"].first()
     assert (a.item_pos, a.path, a.value) == (1, "a", "1")
     i = t["items"].filter("item_pos = 1").first()
-    assert i.pre < a.pre and i.post > a.post and a.item_pre == i.pre
+    assert i.pre < a.pre and i.post > a.post and a.item_pre == i.pre and i.parent == t["examples"].first().pre
+    o = t["objects"].first()
+    assert (o.kind, o.path, o.item_pre, o.parent, a.parent) == ("attributes", "", i.pre, i.pre, o.pre)
+
+
+def test_child_to_parent_joins_lose_nothing(spark, data):
+    t = {n: problems.QUERIES[f"p2_{n}"](spark, data).collect() for n in ("examples", "items", "objects", "attributes")}
+    key = {n: {(r.idx, r.pre): r for r in rows} for n, rows in t.items()}
+    assert all(len(key[n]) == len(t[n]) for n in t) and any(r.kind == "array" for r in t["objects"])
+    for r in t["items"]:
+        assert (r.idx, r.parent) in key["examples"]
+    for n in ("objects", "attributes"):
+        for r in t[n]:
+            item = key["items"][r.idx, r.item_pre]
+            above = item if r.parent == item.pre else key["objects"][r.idx, r.parent]
+            assert item.item_pos == r.item_pos and item.pre <= above.pre < r.pre and item.post >= above.post > r.post
+            if r.parent != item.pre:
+                assert r.path.startswith(above.path) and len(r.path) > len(above.path)
 
 
 def test_p2_over_the_table_equals_brute_force(spark, data):
