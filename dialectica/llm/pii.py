@@ -16,6 +16,7 @@ between entities comes out unchanged, to the character.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import unicodedata
@@ -23,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ KINDS = ("none", "email", "phone", "id_number", "address", "person_name")
 NONE, EMAIL, PHONE, IDENT, ADDRESS, NAME = range(6)
 #: A chunk is part of a name from this marginal on; names are checked for a family name afterwards.
 NAME_CUTOFF = 0.25
-#: Fixed value: what a lone repeat of a full name's family name adds to its score; the sentences for training hold none.
-REPEAT = 9.0
+#: Bound of the weight of a skip edge.
+MOST_AGREEMENT = 12.0
 PLACEHOLDER = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", IDENT: "[ID_NUMBER]", ADDRESS: "[ADDRESS]", NAME: "[PERSON_NAME]"}
 
 #: Common given names of many countries (words that are also dishes, plants or places are left out).
@@ -83,7 +85,8 @@ ADDRESS_FORMS = [
     regex.compile(r"[\p{Han}]{2,8}(?:路|街|大道|巷)\p{Nd}+号"),
     regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:No|Nr|Num|Number)\.?\s?\d{{1,5}}[a-z]?,?\s(?:[\p{{L}}'’\-]+\s){{1,3}}(?:{'|'.join(sorted(STREET, key=len, reverse=True))})\b\.?", regex.I),
 ]
-_WORDLIKE = ("w", "J")
+#: Every form of an address holds a digit or a Chinese or Japanese numeral.
+NUMERAL = regex.compile(r"[\p{Nd}一二三四五六七八九十]")
 
 
 def chunks(text: str) -> list[tuple[int, int, str, str]]:
@@ -130,12 +133,13 @@ class Lattice:
         self.low = low = [s.lower().replace("’", "'") for _, _, _, s in items]
         kinds = self.kinds = [k for _, _, k, _ in items]
         self.street = [0] * n
-        for f, form in enumerate(ADDRESS_FORMS, 1):
+        starts_at: list[int] = []
+        for f, form in enumerate(ADDRESS_FORMS if NUMERAL.search(text) else (), 1):
             for m in form.finditer(text):
-                for i in range(n):
+                starts_at = starts_at or [x[0] for x in items]
+                # Chunks that begin in the match, and the one before them if it ends in it.
+                for i in range(max(0, bisect.bisect_left(starts_at, m.start()) - 1), bisect.bisect_left(starts_at, m.end())):
                     a, b = items[i][0], items[i][1]
-                    if a >= m.end():
-                        break
                     if b > m.start() and (b <= m.end() + 1 or a >= m.start()):
                         self.street[i] = self.street[i] or f
         given = [kinds[i] == "w" and low[i] in GIVEN for i in range(n)]
@@ -176,20 +180,28 @@ class Lattice:
                         evident[k] = evident[k] or kinds[k] == "w" and (k >= i or cap[k])
         self.given, self.title, self.cap, self.initial = given, title, cap, initial
         self.evident = evident
-        # Lone words like the family name of a full name may be that name anywhere in the text.
-        full = {low[i] for i in range(n) if evident[i] and NAME in self.allowed[i] and self.family(i) and (cap[i] or i and given[i - 1]) and not self.lone(i)}
-        self.repeat = [bool(full) and cap[i] and self.family(i) and not self.street[i] and self.lone(i) and any(alike(low[i], x) for x in full) for i in range(n)]
+        # In a text with a full name every capitalised lone word may be a family name: whether it is one, skip edges tell.
+        full = any(evident[i] and NAME in self.allowed[i] and kinds[i] == "w" for i in range(n))
+        self.repeat = [full and cap[i] and self.family(i) and not self.street[i] and self.lone(i) for i in range(n)]
         for i in range(n):
             if self.repeat[i] and NAME not in self.allowed[i]:
                 self.allowed[i].append(NAME)
 
+    def begins(self, i: int) -> bool:
+        """Whether chunk i begins a sentence, where any word has a capital letter."""
+        return i == 0 or self.ends(i - 1)
+
+    def ends(self, k: int) -> bool:
+        """Whether chunk k ends a sentence; the point of a title or an initial doesn't."""
+        return self.items[k][3] in "!?…\n:" or self.items[k][3] == "." and not (k and (self.title[k - 1] or self.kinds[k - 1] == "w" and len(self.low[k - 1]) == 1))
+
     def lone(self, i: int) -> bool:
-        """Whether chunk i has no given name, title or initial near it, and no capitalised neighbour."""
-        near = [j for j in range(max(0, i - 2), min(self.n, i + 3)) if j != i]
+        """Whether chunk i has no given name, title or initial near it, and no capitalised neighbour but the first word of a sentence."""
+        near = [j for j in range(max(0, i - 2), min(self.n, i + 3)) if j != i and not any(self.ends(k) for k in range(min(i, j) + 1, max(i, j)))]
         beside = [j for j in (i - 1, i + 1) if 0 <= j < self.n]
         if i + 1 < self.n and self.kinds[i + 1] == "w" and (self.low[i + 1] in STREET or self.low[i + 1] in BUSINESS):
             return False
-        return not any(self.given[j] or self.title[j] or self.initial[j] for j in near) and not any(self.cap[j] and self.low[j] not in _STOP for j in beside)
+        return not any(self.given[j] or self.title[j] or self.initial[j] for j in near) and not any(self.cap[j] and self.low[j] not in _STOP and not self.begins(j) for j in beside)
 
     def family(self, i: int) -> bool:
         """Whether chunk i can be a family name by itself."""
@@ -261,15 +273,17 @@ class Lattice:
         return f
 
     def skips(self, active: list[int]) -> list[tuple[int, int]]:
-        """Pairs of equal or similar chunks (by letters and digits), each joined with the next one like it."""
+        """Pairs of equal or similar chunks, each joined with the last one like it: family names (by `alike`; a given name again is no case, so it has no edge), numbers and addresses of e-mail."""
         last: dict[str, int] = {}
         out = []
         for i in active:
             if self.kinds[i] in ("p", "d") or len(self.low[i]) < 3 or self.low[i] in _STOP or self.low[i] in STREET:
                 continue
             key = _digits(self.low[i]) if self.kinds[i] in "DA" else self.low[i].strip("'-")
-            if key not in last and self.repeat[i]:
-                key = next((x for x in last if self.kinds[last[x]] == "w" and self.family(last[x]) and alike(x, key)), key)
+            if self.kinds[i] == "w" and not self.family(i):
+                continue
+            if key not in last and self.kinds[i] == "w":
+                key = next((x for x in last if self.kinds[last[x]] == "w" and alike(x, key)), key)
             if key in last and i - last[key] > 1:
                 out.append((last[key], i))
             last[key] = i
@@ -285,6 +299,34 @@ _STOP = frozenset(
 )
 
 
+def _any(words: Iterable[str]) -> str:
+    return "|".join(sorted({regex.escape(w, literal_spaces=True) for w in words}, key=len, reverse=True))
+
+
+_STREETS = _any(STREET | {"rue", "allée", "impasse", "chemin", "quai", "route"})
+#: A text that fits none of these has no evidence, whatever else it holds: superset tests, linear passes of the columnar engine over a batch.
+GATES = (
+    # a number of 5 digits or more with signs between them, or a code
+    r"\p{Nd}(?:[^\p{L}\p{Nd}]*\p{Nd}){4}|\p{L}-?\d(?:[\d\p{L}-]*\d){4}|[A-Za-z]{2}\s?\d{2}\s?\d{2}\s?\d{2}",
+    # a number before or behind the words of an address
+    rf"\p{{Nd}}[^\s]{{0,8}}\s(?:[^\s]+\s){{1,6}}(?:{_STREETS})(?:[^\p{{L}}]|$)|\p{{Nd}}[^\s]{{0,8}}\s(?:rue|avenue|boulevard|allée|impasse|chemin|place|quai|route)\s",
+    r"(?:^|[^\p{L}])(?:calle|c/|avenida|avda|plaza|paseo|rua|r\.|travessa|rue|avenue|allée|impasse|chemin|via|viale|piazza|corso|vicolo|ulica|ul\.|aleja)[^\p{Nd}]*\p{Nd}",
+    r"(?:straße|strasse|str\.?|weg|gasse|allee|platz|graben|ring|ufer|damm|laan|straat|gracht)\s\p{Nd}|(?:box|postfach|apartado|postale?|b\.?p\.|skrytka\spocztowa|а/я|私書箱)[^\p{Nd}]*\p{Nd}",
+    # e-mail addresses, digits in words, other scripts, initials
+    rf"[@＠]|(?:at|arroba)\s?[)\]}}>]|\s(?:at|arroba)\s[^\s]*(?:\s[^\s]*){{0,8}}(?:\s(?:dot|punto|punkt)\s|\.(?:com|net|org|edu|example|test|invalid|de|fr|es|it|pt|pl|uk|jp))|(?:{DIGIT_WORDS})[\s,\-]+(?:{DIGIT_WORDS})[\s,\-]+(?:{DIGIT_WORDS})[\s,\-]|[\p{{Cyrillic}}\p{{Arabic}}\p{{Hangul}}\p{{Han}}]|(?:^|[^\p{{L}}])\p{{L}}\.\s?\p{{L}}",
+    # given names, titles, words that announce a name
+    rf"(?:^|[^\p{{L}}])(?:{_any(GIVEN | TITLES | NAME_CUES)}|(?:{'|'.join(a + '[^a-z]+' + b for a, b in sorted(NAME_CUE_PAIRS))}))(?:[^\p{{L}}]|$)",
+)
+
+
+def evident(texts: pa.Array) -> list[bool]:
+    """Whether each text may hold personal information; false only for texts without any evidence. Null counts as false."""
+    out = pc.match_substring_regex(texts, GATES[0], ignore_case=True)
+    for gate in GATES[1:]:
+        out = pc.or_(out, pc.match_substring_regex(texts, gate, ignore_case=True))
+    return pc.fill_null(out, False).to_pylist()
+
+
 def soft(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -306,8 +348,6 @@ class Field:
         for r, i in enumerate(active):
             at = [self.index[f] for f in lat.features(i) if f in self.index]
             s = self.node[at].sum(axis=0) if at else np.zeros(6)
-            if lat.repeat[i]:
-                s[NAME] += REPEAT
             for y in lat.allowed[i]:
                 out[r, y] = s[y]
         return out
@@ -375,10 +415,18 @@ class Field:
                 while a < b and lat.kinds[a] == "p":
                     a += 1
                 words = [i for i in range(a, b + 1) if lat.kinds[i] == "w" and lat.low[i] not in PARTICLES]
+                # A word before a given name that a family name follows, and a first word of a sentence before a lone name, aren't part of it.
+                sure = lambda i: lat.given[i] or lat.title[i] or lat.initial[i]
+                if len(words) > 2 and not sure(words[0]) and sure(words[1]) and lat.family(words[2]):
+                    words = words[1:]
+                    a = words[0]
+                if len(words) > 1 and lat.begins(words[0]) and all(lat.repeat[i] for i in words[1:]):
+                    words = words[1:]
+                if words and all(lat.repeat[i] for i in words):
+                    lone += words
+                    continue
                 whole = any(lat.kinds[i] == "J" for i in range(a, b + 1)) or len(words) >= 2 and not all(lat.given[i] or lat.title[i] or lat.initial[i] for i in words) or len(words) >= 2 and sum(lat.given[i] for i in words) >= 2
                 if not whole:
-                    if len(words) == 1 and lat.repeat[words[0]]:
-                        lone.append(words[0])
                     continue
                 families |= {lat.low[i] for i in words if lat.family(i)}
             if y == ADDRESS and not any(lat.kinds[i] in "dDA" for i in range(a, b + 1)):
@@ -392,23 +440,32 @@ class Field:
 # Sentences for training, made by rule.
 
 _SYLLABLES = "bar ten dor vel mi ra nok stein ford ley ka shi mo ve gu lan de ro qu el win ber ta sko ru zo pin hal ster wick mar chi ola nwe".split()
-_TOWNS = "Northwick Elmsford Karlby Montreux Sandvale Oldbrook Westmere".split()
+_TOWNS = [*"Northwick Elmsford Karlby Montreux Sandvale Oldbrook Westmere".split(), "Port Hale", "Lower Marden", "East Bridgeton", "Marble Heights"]
+#: Sentences are written for this module; gaps: N a full name, M its family name alone (or with its ending changed), H its given name, P phone, E e-mail, I number, A address, L family name, G given name, S street, B business, T town, C a capitalised word that is no name, D digits.
 _POSITIVE = [
-    "I complained to {N} in person.", "Thanks again to {N}, who found my keys.", "The bill was addressed to {N}.", "Told {N} and got a refund.", "Signed, {N}", "reservation under {N}, table by the window", "Ask for {N} and mention this review.",
-    "Our waiter {N} was a delight.", "The server, {N} I think, shouted at us.", "{N} told everyone about my allergy.", "{N}", "My name is {N}.", "Bedient hat uns {N}.", "Nos atendió {N}.", "Fomos atendidos por {N}.", "Ci ha serviti {N}.", "Merci à {N} pour son accueil.", "We met {N} at the door.",
-    "Call me on {P} about the lost jacket.", "They have my number, {P}, and never called.", "the guy said ring {P} after six", "WhatsApp: {P}", "You can reach me under {P} in the evening.", "My sister got a strange call from {P} right after booking.", "Rückruf unter {P}.", "Llámenme al {P}.", "Rappelez-moi au {P}.", "Tel. {P}", "{P}",
-    "Write me at {E} if you want the photos.", "Send the recipe ({E}), please!", "my mail is {E} pls answer", "Complaints go to {E}, apparently.", "Mi correo es {E}.", "e-mail>>{E}", "{E}",
-    "The booking form wanted my {I}.", "They wrote my {I} on the receipt, unbelievable.", "To prove my age I had to read out {I} aloud.", "Found a card on the floor, {I}, handed it to the owner.", "invoice made out to {I}", "Me pidieron el documento {I}.", "On a noté ma pièce {I}.", "{I}",
-    "I left my bag, please post it to {A}.", "We live at {A}, so it is a short walk.", "They sent the catering to {A} by mistake.", "Delivery to {A} took over an hour.", "El pedido iba a {A}.", "A entrega era para {A}.", "Livraison au {A}, en retard.", "Drop it off: {A}", "{A}",
-    "{N}\n{I}", "{N}\n{P}\n{E}", "{N}\nThe soup was fine.", "Signed, {N} The rice was cold.", "Well, signed, {N} They do fish.", "{N}\n{A}", "It was worth it. {N}\n{E}", "We left early. {N}, {I}", "{N}\n{I}\n{P}", "The bill was addressed to {N} (more on that later).", "{N}, {A}", "{N} / {P}", "{N}, {P}, {I}", "{N} | {E} | {P}", "{N} / {I} / {A}", "{N}, {A}, {P}", "{L}, {G}, {I}", "Contact: {E} {N}", "電話は{P}まで。", "連絡先は{E}です。", "配達先は {A} でした。", "担当は{N}さんでした。", "電話は{P}です。", "{N} called. Later {N2} came back.",
+    # persons
+    "I wrote a long letter to {N} last spring.", "We owe a lot to {N}, whose advice was sound.", "The parcel for {N} arrived damaged.", "According to {N} the shop will move.", "{N} runs the place with her brother.", "Yesterday {N} explained the rules to us.", "Kind regards, {N}", "Yours sincerely, {N}", "My neighbour {N} recommended it.", "The man at the counter, {N} by his badge, was rude.",
+    "Our guide {N} knew every street.", "Please ask for {N} when you get there.", "You should talk to {N} about prices.", "I am {N} and I come here often.", "She said her name was {N}.", "The desk is kept by {N} on weekdays.", "I would like to thank {N} for the cake.", "Served by {N}, who smiled all evening.", "a table booked under {N} for eight", "Der Kellner {N} war sehr nett.", "Ich habe mit {N} gesprochen.", "Gracias a {N} por todo.", "Hablé con {N} por teléfono.",
+    "Nous avons rencontré {N} hier soir.", "Le patron, {N}, est charmant.", "Abbiamo parlato con {N} ieri.", "Il proprietario {N} ci ha aiutato.", "Falei com {N} ontem.", "O gerente {N} resolveu tudo.", "{N}", "{N}.", "It was {N} who paid.", "Best, {N}\nThe bread was stale.", "Written by {N} The tea was cold.", "{N}\nWe had a good time.",
+    # numbers, addresses and lists
+    "Give me a ring on {P} if you find my umbrella.", "Text {P} for a table.", "The line {P} is always busy.", "He left {P} as his mobile number.", "Dial {P} and wait.", "Meine Nummer ist {P}.", "Mein Handy: {P}", "Mi teléfono es {P}.", "Mon portable est le {P}.", "Il mio cellulare: {P}", "O meu telefone é {P}.", "After noon I answer at {P}.", "fax {P}", "{P}", "Phone: {P}",
+    "Mail it to {E} by Friday.", "My address for letters is {E}.", "Contact {E} for the pictures.", "questions? {E}", "Schreib an {E}.", "Escríbeme a {E}.", "Écrivez à {E}.", "Scrivete a {E}.", "({E})", "{E}",
+    "The clerk copied my {I} by hand.", "My {I} was printed on the bill.", "They asked for {I} at the door.", "I had to show {I} to get in.", "a lost card, {I}, lies at the bar", "Meine Nummer lautet {I}.", "Mi número es {I}.", "Mon numéro : {I}.", "{I}",
+    "Our flat at {A} is close by.", "Bring it to {A} before nine.", "The courier went to {A} instead.", "I moved to {A} in May.", "We walked home to {A} after dinner.", "Ich wohne in {A}.", "Vivo en {A}.", "J'habite {A}.", "Abito in {A}.", "Moro na {A}.", "{A}", "Ship to: {A}",
+    "{N} says that the cook left.", "In the morning {N} shouted across the room.", "{N} promised us a refund and kept the promise.", "{N} knows all the guests.", "The bread was warm. {N} / {P} / {E}", "It rained. {N} / {A}", "A fine evening. {N}, {A}, {E}, {I}", "Good soup. {N}, {I}, {P}", "{N} | {A}", "{N}\n{I}\nIt was fine.", "{N}\n{A}\n{P}", "The sauce was thin. {N}, {E} We paid and left.", "{N}, {I} They close early.",
+    "{N}\n{P}", "{N}\n{E}\n{A}", "{N}, {P}", "{N} / {I}", "{N} | {P} | {E}", "{N}, {A}, {I}", "We will be back. {N}, {E}", "Nothing more to say. {N}\n{I}", "{L}, {G}, {P}", "{L}, {G}, {A}", "Write to: {E} {N}", "番号は{P}です。", "宛先は{E}。", "住所は{A}です。", "担当者は{N}でした。",
+    # the family name again, alone
+    "{N} opened the door. Later {M} brought the bill.", "We asked {N} twice, but {M} did not answer.", "The owner is {N}. When it was late {M} closed up, and {M} was tired.", "I met {N} in {T}. The food was fine. In the end {M} drove us home.", "Dr. {L} came first and then {M} left.", "{N} cooks here. On {C} {M} makes bread. The {C} soup is good.", "Thank you, {N}! Everyone praised {M} that night.", "Wir sprachen mit {N}. Dann ging {M} nach Hause.", "Nous avons vu {N}. Ensuite {M} est parti.", "{N} and I talked. {H} was calm, {M} was not.", "{N} came in. Then {M} sat down with {H}.", "They called {N}. At nine {M} came with {H} and {G}.",
 ]
 _NEGATIVE = [
-    "{G}\nKiller noodles.", "Signed, {G}\nThe rice was cold.", "{G} was kind and brought extra rice.", "It sits off {S}, look for the green sign.", "They sit on {S}, a block from the river.", "Our receipt number was {D7} and the order id {D2}-{D4}-{D1}.", "Follow them at @lucky.otter for specials.", "See www.menu-board.example for the list.", "Open 11:30-22:00, closed 24.12. to 02.01.",
-    "Flight {D4} was late so we came at 21:45.", "Around 1200-1500 calories a plate, I guess.", "Wine from 2016, lot {D3}-{D3}.", "Card only, no cash, since 2021-05-14.", "Table {D2}, seats 4, since 1987.", "The code WINTER2024 gives 15% off.", "Scored 4.5/5 in 2023-11-02, down to 3.8/5 now.", "It cost 1.250,00 for a party of 30.",
-    "Hours: Mon 9-5, Tue 9-5, Wed 9-5, Thu 9-5.", "{D22} The soup was fine.", "For $9 you get tom kha, rice and a drink.", "I ordered the bloody mary and my sister had the caesar salad.", "Unlike at {B} it is about the same.", "Think of {B} with more rice.", "Even the {B} does a better margherita.", "The crowd comes from {T} and {T}.",
-    "We shared crab cakes and paella with {G}.", "Thanks to {G} and {G2} for the cake.", "Sent @ 9 pm, got it at 10.", "The bill for six came to $45, tip included.", "Waited 40 minutes, but it was worth it.", "Ask for the manager, please.", "The lunch deal is tofu with beans for 18 euros.", "{T} has another branch.", "Our order was number 48 and they called 52 before us.", "SKU {D5} sale.", "My usual is the pad thai, no {B2}.",
-    "Two friends, five of us, three tables, one bill.", "The menu changes every six weeks.", "Dear {B} team, thanks for the soup.", "Order {D5} was late.", "Mr Softee sells ice cream.", "St Patrick's Day was busy.",
+    "{G} opened the door for us.", "Hugs from {G}", "My cousin {G} loved the cake.", "With {G} and {G2} we were four.", "Happy birthday, {G}!", "{G} waved. Then {H} paid and {H} left.", "I saw {G} on {C}. The {C} place was shut, and {H} went to {T}.", "{N} opened the door. The {C} bread was warm, and {C} beer was served on {C}.", "We asked {N} about {C} food. {C} is better than {C}.", "Dr. {L} liked the {C} salad. Then {C} came and {T} was far.", "{N} said hello. {H} was kind. {H} brought {C} tea.",
+    "The shop lies on {S}, next to the bank.", "Turn left into {S} and walk on.", "{S} is noisy at night.", "The bus stops at {S}.", "Ticket {D2}-{D4}-{D1} was not valid.", "My voucher {D7} had expired.", "Booking {D5}, gate {D2}.", "Posted by @tiny.heron last week.", "More at www.night-kitchen.example today.", "Breakfast 07:00-10:30, dinner 18:00-23:00.",
+    "On 2019-03-08 we came back.", "Closed from 01.08. to 21.08. each year.", "About 800-900 kcal in a bowl.", "Rated 3.5/5 on 12/04/2022.", "A bottle of 2015, batch {D3}-{D3}.", "The bill was 1.480,50 for all of us.", "That makes $37 for two.", "Use SUMMER2023 for a discount.", "Room {D2}, second floor, built in 1964.", "Page {D3} of the menu.",
+    "{D22} on the box.", "Next to {B} there is a park.", "{B} has better coffee.", "I prefer {B} on Sundays.", "The buses to {T} and {T} are slow.", "From {T} it takes an hour.", "I drank a tom collins and an arnold palmer.", "A caesar salad and a bloody mary, please.", "We met at 7 and left at 10.", "Forty guests, six tables, one oven.", "Please ask for the bill.", "Thanks to the whole team.", "The model {D5} broke.", "They called number 31 before 29.",
+    "Two of us shared five plates.", "Dear {B}, well done.", "St Martin's Day was quiet.", "Dr Pepper is on the list.", "Ms Pacman stands in the corner.", "We would miss this place.", "I miss the old sir of the house.", "They would miss you and you would miss them.", "Sunday lunch, nothing more, nothing less.", "The parcel went to {A} by van.", "The {C} and the {C} were full.", "{C} evenings at {B} are loud.",
 ]
+#: Capitalised words that are no names of persons.
+_CAPITALISED = "Monday Friday Sunday April August Christmas Easter Italian Mexican Korean French Greek Turkish English Spanish Guinness Heineken Nutella Internet Sushi Ramen Pizza Espresso Chardonnay Champagne Parmesan Cheddar Chef Manager Later Everything Nothing Again Service".split()
 
 
 class _Maker:
@@ -424,13 +481,13 @@ class _Maker:
     def given(self) -> str:
         return self.r.choice(self.names).capitalize()
 
-    def case(self, s: str) -> str:
+    def case(self, s: str, lower: float = 0.24) -> str:
         x = self.r.random()
-        return s.lower() if x < 0.24 else s.upper() if x < 0.32 else s
+        return s.lower() if x < lower else s.upper() if x < lower + 0.08 else s
 
     def name(self) -> str:
         r, g, s = self.r, self.given(), self.surname()
-        forms = [f"{g} {s}"] * 5 + [f"{g} {r.choice('ABCDEFGHIJKLMRST')}. {s}", f"{r.choice('ABCDEFGHIJKLMRST')}. {s}"] * 2 + [f"{r.choice(('Mr', 'Mrs.', 'Ms.', 'Dr.', 'Herr', 'Frau', 'Prof.', 'Mr.'))} {s}", f"{s}, {g}"] * 3 + [f"{s} {g}", "高森 由利子", "김하늘", "Иванова Мария", "محمد الحسن"]
+        forms = [f"{g} {s}"] * 5 + [f"{g} {r.choice('ABCDEFGHIJKLMRST')}. {s}", f"{r.choice('ABCDEFGHIJKLMRST')}. {s}"] * 2 + [f"{r.choice(('Mr', 'Mrs.', 'Ms.', 'Dr.', 'Herr', 'Frau', 'Prof.', 'Mr.', 'Dr.'))} {s}", f"{s}, {g}"] * 4 + [f"{s} {g}", "高森 由利子", "김하늘", "Иванова Мария", "محمد الحسن"]
         return r.choice(forms)
 
     def digits(self, n: int) -> str:
@@ -475,6 +532,17 @@ class _Maker:
         a, b = r.choice(("Hungry", "Silver", "Little", "Blue Door", "Dusty", "Amber")), r.choice(("Otter", "Basil", "Heron", "Kettle", "Olive", "Plum"))
         return r.choice((f"{a} {b}", f"{b} & {r.choice(('Elk', 'Fig', 'Moth'))}", f"{a} {b} {r.choice(('Diner', 'Cafe', 'Grill', 'Bakery', 'Tea Room'))}"))
 
+    def again(self, full: str, given: bool) -> str:
+        """The family name (or the given name) of a full name, as texts repeat it."""
+        words = [w for w in regex.findall(r"[\p{L}'’\-]+", full) if len(w) > 1 and w.lower() not in TITLES and w.lower() not in PARTICLES]
+        own = [w for w in words if w.lower() in GIVEN]
+        if given:
+            return own[0] if own else self.given()
+        family = [w for w in words if w.lower() not in GIVEN] or words or [full]
+        s = family[-1]
+        x = self.r.random()
+        return s.capitalize() if x < 0.6 else s.capitalize() + "'s" if x < 0.75 else s.upper() if x < 0.85 else s.capitalize() + "s" if x < 0.93 else s.capitalize()[:-1] + self.r.choice("aeiouy")
+
     def sentence(self) -> tuple[str, list[tuple[int, int, int]]]:
         r = self.r
         template = r.choice(_POSITIVE if r.random() < 0.62 else _NEGATIVE)
@@ -482,12 +550,19 @@ class _Maker:
         held = ""
         for part in regex.split(r"(\{\w+\})", template):
             if not part.startswith("{"):
-                text += part if r.random() < 0.9 else part.lower()
+                x = r.random()
+                text += part if x < 0.86 else part.lower() if x < 0.96 else part.upper()
                 continue
             key, kind = part[1:-1], NONE
-            if key in ("N", "N2"):
-                s, kind = (held if key == "N2" else self.case(self.name())), NAME
+            if key == "N":
+                s, kind = (self.case(self.name(), 0.36) if "{M}" not in template and "{H}" not in template else f"{self.given()} {self.surname()}"), NAME
                 held = s
+            elif key == "M":
+                s, kind = self.again(held, False), NAME
+            elif key == "H":
+                s = self.again(held, True)
+            elif key == "C":
+                s = r.choice(_CAPITALISED)
             elif key == "P":
                 s, kind = self.phone(), PHONE
             elif key == "E":
@@ -498,8 +573,10 @@ class _Maker:
                 s, kind = (self.address() if r.random() < 0.85 else self.address().lower()), ADDRESS
             elif key == "L":
                 s, kind = self.surname(), NAME
+                held = s
             elif key[0] == "G":
-                s = self.case(self.given())
+                s = self.case(self.given(), 0.12)
+                held = s
                 kind = NAME if template.startswith("{L}") else NONE
             elif key == "S":
                 s = self.street()
@@ -590,7 +667,7 @@ def train(sentences: int = 14000, seed: int = 7, rounds: int = 250, rate: float
         for w, grad, acc in ((node, g, gn), (pair, h, gp), (skip, k, gs)):
             acc += grad * grad
             w += rate * grad / np.sqrt(acc)
-    return Field(index, node, pair, np.clip(skip, 0, 3))
+    return Field(index, node, pair, np.clip(skip, 0, MOST_AGREEMENT))
 
 
 def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

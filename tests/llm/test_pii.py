@@ -77,3 +77,53 @@ def test_family_names_that_come_again(field, text, names):
 def test_alike():
     assert P.alike("Kowalski", "KOWALSKI’s") and P.alike("kowalski", "kowalskis") and P.alike("kowalski", "kowalsky")
     assert not P.alike("lee", "leeds") and not P.alike("kowalski", "bowalski") and not P.alike("anders", "sanders")
+
+
+def test_labels_move_along_skip_edges(field):
+    """Without the weight of skip edges, no family name that stands alone is found."""
+    maker, none = P._Maker(77), P.Field(field.index, field.node, field.pair, field.skip * 0)
+    with_, without, lone = 0, 0, 0
+    for _ in range(200):
+        full, s = maker.given(), maker.surname().split()[-1].capitalize()
+        t = f"{maker.r.choice(OPENINGS).format(full + ' ' + s)} {FAR if maker.r.random() < 0.5 else ''}{maker.r.choice(CLOSINGS).format(s)}"
+        at = t.rindex(s)
+        found = lambda f, t=t, at=at: any(a <= at < b and k == P.NAME for a, b, k in f.entities(t))
+        lone, with_, without = lone + 1, with_ + found(field), without + found(none)
+    assert with_ >= 0.9 * lone and without <= 0.1 * lone, (lone, with_, without)
+
+
+#: Sentences of another make than those for training.
+OPENINGS = ["My aunt hired {} as a gardener.", "The violin belonged to {} for years.", "In March {} repaired our roof.", "A photo of {} hangs in the hall.", "Everyone in the choir admires {}."]
+CLOSINGS = ["Nobody but {} had a key.", "Soon {} will retire.", "The dog follows {} everywhere.", "At noon we saw {} in the garden.", "I still trust {}."]
+OTHERS = ["Nobody but Spain had a key.", "Soon Christmas will come.", "The dog follows Google everywhere.", "At noon we saw Paris in the rain.", "I still trust Toyota."]
+
+
+def test_other_capitalised_words_stay(field):
+    for first in OPENINGS:
+        for other in OTHERS:
+            t = f"{first.format('Anna Tendorvel')} {FAR}{other}"
+            assert [t[a:b] for a, b, k in field.entities(t)] == ["Anna Tendorvel"], t
+
+
+def test_sentences_of_another_make(field):
+    hits = sum(any(k == P.NAME for _, _, k in field.entities(o.format(n))) for o in OPENINGS for n in ("Oskar Lindqvarn", "Dr. Hollowbeck", "Mrs Tarnwick", "J. Pellburn", "Priya Vellanoor"))
+    assert hits >= 21
+    assert [P.KINDS[k] for t in ("The courier lost 33 Quarry Lane on the map.", "A note with 0044 7700 900123 lay there.", "It came from o.tarn@letters.example, I believe.", "Its cover shows passport X12345678.") for _, _, k in field.entities(t)] == ["address", "phone", "email", "id_number"]
+
+
+def test_a_given_name_again_is_no_case(field):
+    assert redacted(field, "I complained to Anna Tendorvel about the tea. Later Tendorvel shouted at us. Anna brought it.") == ["Anna Tendorvel", "Tendorvel"]
+
+
+def redacted(field, text):
+    return [text[a:b] for a, b, _ in field.entities(text)]
+
+
+def test_texts_that_fail_the_gate_hold_nothing(field):
+    import pyarrow as pa
+
+    maker = P._Maker(99)
+    texts = [maker.sentence()[0] for _ in range(1500)] + ["", " ", "Plain words only, no more.", "５５５ ０１３４ ０１３", "five five five, zero one four five", "Straße 5", "私書箱 12"]
+    for t, maybe in zip(texts, P.evident(pa.array(texts))):
+        assert maybe or not field.entities(t), t
+    assert P.evident(pa.array(["The soup was warm and the room was quiet.", None])) == [False, False]
