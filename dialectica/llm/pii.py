@@ -701,9 +701,9 @@ def scan(texts: DataFrame, keep: list[str], text: str = "text", model: Field | N
         for batch in batches:
             field = field or Field(*shared.value)
             kinds, out = [], []
-            for t in batch.column(n):
+            for t, maybe in zip(batch.column(n), evident(batch.column(n))):
                 s = t.as_py()
-                spans = field.entities(s) if s and not s.isspace() else []
+                spans = field.entities(s) if maybe else []
                 kinds.append(sorted({KINDS[k] for _, _, k in spans}))
                 out.append(redact(s, spans))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(kinds, pa.list_(pa.string())), pa.array(out, pa.string())], names=schema.names)
