@@ -51,6 +51,8 @@ GIVEN = frozenset(
 )
 #: Forms of address, words of streets and units, and words that announce each kind.
 TITLES = frozenset("mr mrs ms miss mister dr doctor prof professor herr frau señor señora sr sra sres don doña mme mlle monsieur madame signor signora sig senhor senhora dra sir pan pani mevrouw meneer".split())
+#: Titles that are common words without a capital letter.
+CAPITAL_TITLES = frozenset("don pan sir miss sig".split())
 PARTICLES = frozenset("van von der den de da do dos del della di la le al el bin ibn ter ten zu".split())
 STREET = frozenset("street st road rd avenue ave lane ln drive dr way place pl court ct crescent cres terrace terr boulevard blvd square sq close row parkway pkwy highway hwy alley circle cir trail grove gardens mews walk quay wharf".split())
 STREET_FIRST = r"calle|c/|avenida|avda\.?|plaza|paseo|rua|r\.|travessa|rue|avenue|allée|impasse|chemin|via|viale|piazza|corso|vicolo|ulica|ul\.|aleja|ул\.|улица|проспект|شارع"
@@ -89,6 +91,10 @@ ADDRESS_FORMS = [
 NUMERAL = regex.compile(r"[\p{Nd}一二三四五六七八九十]")
 
 
+_NUMBERS = regex.compile(r"\p{Nd}+")
+_DATE = regex.compile(r"(?:19|20)\d\d[-/.]\d\d?[-/.]\d\d?|\d\d?[-/.]\d\d?[-/.](?:19|20)\d\d|(?:19|20)\d\d\s?[-–]\s?(?:19|20)?\d\d")
+
+
 def chunks(text: str) -> list[tuple[int, int, str, str]]:
     return [(m.start(), m.end(), m.lastgroup or "p", m.group()) for m in CHUNK.finditer(text)]
 
@@ -108,7 +114,7 @@ def _script(s: str) -> str:
 
 def _stem(s: str) -> str:
     """A word without possessive ending."""
-    return regex.sub(r"'(?:s)?$", "", s.lower().replace("’", "'").strip("-"))
+    return s.lower().replace("’", "'").strip("-").removesuffix("'s").removesuffix("'")
 
 
 def alike(a: str, b: str) -> bool:
@@ -165,7 +171,7 @@ class Lattice:
             if title[i]:
                 if j < n and items[j][3] == ".":
                     j += 1
-                starts = j < n and kinds[j] == "w" and (cap[j] or low[j] in PARTICLES or given[j] or self.announced(i) and low[i] not in ("sir", "miss", "don", "pan", "sig")) and (cap[i] or low[i] not in ("don", "pan", "sir", "miss"))
+                starts = j < n and kinds[j] == "w" and (cap[j] or low[j] in PARTICLES or given[j] or self.announced(i) and low[i] not in ("sir", "miss", "don", "pan", "sig")) and (cap[i] or low[i] not in CAPITAL_TITLES)
             j = i + 1
             if not starts and cap[i] and j < n and cap[j] and (self.announced(i) or self.listed(i)) and len(low[i]) > 2 and _shape(items[i][3]) == _shape(items[j][3]) == "C" and low[i] not in _STOP and low[j] not in BUSINESS:
                 starts = True
@@ -232,12 +238,12 @@ class Lattice:
             f += ["street", f"street{self.street[i]}", "street:" + k]
         if k in "NDA":
             digits = _digits(s)
-            f += [f"nd={min(len(digits), 16)}:{k}", "pat=" + "-".join(str(len(x)) for x in regex.findall(r"\p{Nd}+", s)) + ":" + k]
+            f += [f"nd={min(len(digits), 16)}:{k}", "pat=" + "-".join(str(len(x)) for x in _NUMBERS.findall(s)) + ":" + k]
             if s[0] in "+＋" or digits[:2] == "00" and digits[2:3] != "" and s[:4].isdigit():
                 f.append("plus:" + k)
             if s[0] == "(" or "(" in s:
                 f.append("paren")
-            if regex.fullmatch(r"(?:19|20)\d\d[-/.]\d\d?[-/.]\d\d?|\d\d?[-/.]\d\d?[-/.](?:19|20)\d\d", s) or regex.fullmatch(r"(?:19|20)\d\d\s?[-–]\s?(?:19|20)?\d\d", s):
+            if _DATE.fullmatch(s):
                 f.append("date")
             if "555" in digits or digits[:5] == "07700":
                 f.append("fiction")
@@ -314,8 +320,9 @@ GATES = (
     r"(?:straße|strasse|str\.?|weg|gasse|allee|platz|graben|ring|ufer|damm|laan|straat|gracht)\s\p{Nd}|(?:box|postfach|apartado|postale?|b\.?p\.|skrytka\spocztowa|а/я|私書箱)[^\p{Nd}]*\p{Nd}",
     # e-mail addresses, digits in words, other scripts, initials
     rf"[@＠]|(?:at|arroba)\s?[)\]}}>]|\s(?:at|arroba)\s[^\s]*(?:\s[^\s]*){{0,8}}(?:\s(?:dot|punto|punkt)\s|\.(?:com|net|org|edu|example|test|invalid|de|fr|es|it|pt|pl|uk|jp))|(?:{DIGIT_WORDS})[\s,\-]+(?:{DIGIT_WORDS})[\s,\-]+(?:{DIGIT_WORDS})[\s,\-]|[\p{{Cyrillic}}\p{{Arabic}}\p{{Hangul}}\p{{Han}}]|(?:^|[^\p{{L}}])\p{{L}}\.\s?\p{{L}}",
-    # given names, titles, words that announce a name
-    rf"(?:^|[^\p{{L}}])(?:{_any(GIVEN | TITLES | NAME_CUES)}|(?:{'|'.join(a + '[^a-z]+' + b for a, b in sorted(NAME_CUE_PAIRS))}))(?:[^\p{{L}}]|$)",
+    # given names and titles (some of them only with a capital letter), words that announce a name with a capital letter behind them
+    rf"(?:^|[^\p{{L}}])(?:{_any(GIVEN | TITLES - CAPITAL_TITLES)}|(?-i:{_any(x for t in CAPITAL_TITLES for x in (t.capitalize(), t.upper()))}))(?:[^\p{{L}}]|$)",
+    rf"(?:^|[^\p{{L}}])(?:{_any(NAME_CUES)}|(?:{'|'.join(a + '[^a-z]+' + b for a, b in sorted(NAME_CUE_PAIRS))}))[^\p{{L}}]+(?-i:\p{{Lu}}|al-|el-)",
 )
 
 
