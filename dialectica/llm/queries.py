@@ -13,7 +13,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.scores(table(spark, folder, "sample_input"), table(spark, folder, "review_labels")).drop("source").distinct()
+    chain = toxicity.fit_chain(toxicity.labelled(table(spark, folder, "review_labels")))
+    return toxicity.scores(table(spark, folder, "sample_input"), chain).drop("source").distinct()
 
 
 def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
