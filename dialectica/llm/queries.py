@@ -66,8 +66,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    return spam.score(documents, spam.train(documents))
+    return spam.scores(table(spark, folder, "documents"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rates": p1_rates, "p4_found": p4_found, "p4_labels": p4_labels, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_shards": p7_shards, "p7_documents": p7_documents, "p8_found": p8_found, "p8_scores": p8_scores}

@@ -1,18 +1,18 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
 A page is cut into blocks (lines and sentences; short ones are joined), and each block becomes a sequence of function
-words and word classes. A trigram model of such sequences is trained on the prose of the whole corpus, that is, on
-blocks that aren't lists by their form. A block is abnormal if its perplexity under that model lies far above what
-the model itself gives for prose, or far below; a page is flagged if more than half of its characters lie in abnormal
-blocks.
+words and word classes. A trigram model of such sequences is trained on the prose of the whole corpus: first on blocks
+that aren't lists by their form, then anew on all blocks, whatever their form, that the first model finds normal. A
+block is abnormal if its perplexity under the second model lies far above what the model itself gives for prose, or far
+below; a page is flagged if more than half of its characters lie in abnormal blocks.
 
-Word classes: function words and punctuation stand for themselves; other words are classed by their shape, by
+Word classes: function words and frequent punctuation stand for themselves; other words are classed by their shape, by
 whether they, or the two-word phrase that they end, came shortly before in the page, and links, link hosts, mark-up, tags, prices and
-numbers have classes of their own; Han and kana are classed character by character.
+numbers have classes of their own; Han and kana are classed character by character. All classes are numbered (CLASSES).
 
-The n-gram counts cover all documents. Their number is bounded by the fixed set of classes, not by the corpus, so the
-counts are summed on the executors and the sums are read by the driver. Two passes read the texts; neither shuffles
-them.
+Texts are read and cut once; the numbers of the classes, 2 bytes each, are kept for the two counts and the scoring. The
+n-gram counts cover all documents. Their number is bounded by the fixed set of classes, not by the corpus, so the counts
+are summed on the executors and the sums are read by the driver.
 
 Defined results: null, empty and blank texts are never flagged and have no perplexity; a page without words or
 characters of a word is not flagged.
@@ -21,15 +21,15 @@ characters of a word is not flagged.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectica.session import spread
+from dialectica.session import materialize, spread
 
 #: Frequent function words of each language.
 FUNCTION_WORDS = {
@@ -52,20 +52,30 @@ _FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.spli
 _PLAIN = str.maketrans("@4301$5", "aaeoiss")
 TOKEN = regex.compile(
     r"(?P<url>(?:https?://|www\.)\S+|[\w-]+(?:\.|\s?\(\.\)\s?|\s?\[\.\]\s?|\sdot\s)(?:example|test|invalid|localhost|com|net|org|info|shop|biz)\b(?:/\S*)?)"
-    r"|(?P<html></?[a-zA-Z][^<>\n]{0,300}>)|(?P<tag>[#＃]\w+)|(?P<num>[$€£¥]?\d[\d.,:%]*)"
+    r"|(?P<html></?[a-zA-Z][^<>\n]*>)|(?P<tag>[#＃]\w+)|(?P<num>[$€£¥]?\d[\d.,:%]*)"
     r"|(?P<cjk>[\p{Han}\p{Hiragana}\p{Katakana}ー])|(?P<word>[\p{L}@][\p{L}\p{M}\p{N}'’@$]*)|(?P<nl>\n)|(?P<p>[^\s\w])"
 )
 _CUT = regex.compile(r"\n+|<br ?/?>|(?<=[.!?…])\s+|(?<=[。！？])")
 #: Blocks of fewer tokens are joined with their neighbours; a page's history of words reaches back so far.
 SHORT, WORD_BACK, PHRASE_BACK, LINK_BACK = 6, 14, 120, 24
-#: A block is abnormal beyond mean + HIGH + SPREAD x deviation / sqrt(tokens) bits a token, or below mean - LOW.
-HIGH, SPREAD, LOW = 1.2, 0.95, 1.75
-#: A page is flagged only if its abnormal blocks are this many bits away from prose, together, and it has LEAST characters, a Chinese, Japanese or Korean one counting twice, or LISTED tags or separators.
+#: A block is abnormal beyond mean + HIGH + SPREAD x deviation / sqrt(tokens) bits a token, or, with LONG tokens at least, below mean - LOW: a few tokens of one frequent class are no list yet.
+HIGH, SPREAD, LOW, LONG = 1.2, 0.95, 1.75, 18
+#: As HIGH, for blocks that train the second model: what is nearly abnormal stays out of it.
+TRAIN = 0.8
+#: A page is flagged only if its abnormal blocks are this many bits away from prose, together, and it has LEAST characters, a Chinese, Japanese or Korean one counting twice, or LISTED tags or separators: of shorter pages the model alone can't tell.
 EVIDENCE, LEAST, LISTED = 25.0, 40, 3
 WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 LIST_SIGN = regex.compile(r"(?<!\S)[#＃]\p{L}|[·|｜•»]|\s>\s|https?://")
 _POINTS = frozenset(".,!?:;()\"'…。、，！？")
 _SEPARATORS = frozenset("|·•*/>;»~=#›—")
+#: Punctuation that stands for itself; all other signs are one class.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»·•…‘’“”‹›–—°€£¥©®™。、，！？「」"
+CLASSES = [
+    "^", "$$", "nl", "0", "sym", *dict.fromkeys(["$", *PUNCTUATION]), *(k + m for k in ("url", "tag", "html") for m in ("", "+")), *(k + m for k in ("~w", "~C", "~@", "~h", "~K", "~H") for m in ("", "r", "R", "RR")), *sorted(_FUNCTION - set(PUNCTUATION))
+]
+INDEX = {c: i for i, c in enumerate(CLASSES)}
+WIDTH = len(CLASSES)
+START, END = INDEX["^"], INDEX["$$"]
 
 
 class Page:
@@ -111,8 +121,8 @@ class Page:
             if kind == "num":
                 out.append("$" if t[0] in "$€£¥" else "0")
             elif kind == "p":
-                if not out or out[-1] != t:
-                    out.append(t if ord(t) < 0x2100 or t in "。、，！？·」「" else "sym")
+                if not out or out[-1] != (t if t in INDEX else "sym"):
+                    out.append(t if t in INDEX else "sym")
             elif kind == "nl":
                 out.append("nl")
             elif kind == "html" and t[:2].lower() != "<a":
@@ -173,120 +183,155 @@ def runs_on(seq: list[str]) -> bool:
     return plain >= 0.3 * n and again < 0.2 * n and links < 0.1 * n
 
 
-class Model:
-    """Interpolated trigram model of class sequences, in bits a token."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.c3 = counts
-        self.h3: Counter = Counter()
-        self.c2: Counter = Counter()
-        self.h2: Counter = Counter()
-        self.c1: Counter = Counter()
-        for key, n in counts.items():
-            a, b, x = key.split("\t")
-            self.h3[a + "\t" + b] += n
-            self.c2[b + "\t" + x] += n
-            self.h2[b] += n
-            self.c1[x] += n
-        self.total = sum(self.c1.values())
-        self.kinds = len(self.c1) + 1
-        self.memo: dict[str, float] = {}
-        s = s2 = 0.0
-        for key, n in counts.items():
-            v = self.bits(*key.split("\t"))
-            s += n * v
-            s2 += n * v * v
-        n = max(1, self.total)
-        self.mean = s / n
-        self.deviation = math.sqrt(max(0.0, s2 / n - self.mean**2))
-
-    def bits(self, a: str, b: str, x: str) -> float:
-        key = f"{a}\t{b}\t{x}"
-        v = self.memo.get(key)
-        if v is None:
-            p1 = (self.c1[x] + 0.5) / (self.total + 0.5 * self.kinds)
-            p2 = (self.c2[b + "\t" + x] + 4 * p1) / (self.h2[b] + 4)
-            p3 = (self.c3.get(key, 0) + 4 * p2) / (self.h3[a + "\t" + b] + 4)
-            v = self.memo[key] = -math.log2(p3)
-        return v
-
-    def score(self, seq: list[str]) -> float:
-        """Bits a token of a block, ends included."""
-        a, b, t = "^", "^", 0.0
-        for x in [*seq, "$$"]:
-            t += self.bits(a, b, x)
-            a, b = b, x
-        return t / (len(seq) + 1)
-
-    def abnormal(self, seq: list[str]) -> tuple[bool, float]:
-        v = self.score(seq)
-        high = self.mean + HIGH + SPREAD * self.deviation / math.sqrt(len(seq) + 1)
-        return v > high and not runs_on(seq) or v < self.mean - LOW and len(seq) >= 3 * SHORT, v
-
-    def page(self, text: str | None) -> tuple[float | None, float | None, float, bool]:
-        """Perplexity of the page, of its most abnormal block, share of characters in abnormal blocks, flag."""
-        if not text or text.isspace():
-            return None, None, 0.0, False
-        total = bad = tokens = 0
-        worst = bits = evidence = 0.0
+PROSE, RUNS_ON = 1, 2
+#: What is kept of a page: numbers of the classes of all blocks in a row, and of each block its characters, tokens and marks; enough: whether the page is long enough, or list enough, to be flagged.
+PAGES = "ids binary, sizes binary, lengths binary, marks binary, enough boolean"
+
+
+def encode(text: str | None) -> tuple[bytes, bytes, bytes, bytes, bool]:
+    """A page as PAGES."""
+    ids: list[int] = []
+    sizes, lengths, marks = [], [], []
+    if text and not text.isspace():
         for size, seq in blocks(text):
-            odd, v = self.abnormal(seq)
-            total += size
-            if odd:
-                bad += size
-                evidence += abs(v - self.mean) * (len(seq) + 1)
-            bits += v * (len(seq) + 1)
-            tokens += len(seq) + 1
-            worst = max(worst, abs(v - self.mean))
-        if not tokens:
-            return None, None, 0.0, False
-        return 2 ** min(60.0, bits / tokens), worst, bad / max(1, total), bad > 0.5 * total and evidence >= EVIDENCE and (total >= LEAST or total + len(WIDE.findall(text)) >= LEAST or len(LIST_SIGN.findall(text)) >= LISTED)
+            ids += [INDEX[c] for c in seq]
+            sizes.append(size)
+            lengths.append(len(seq))
+            marks.append(PROSE * is_prose(seq) + RUNS_ON * runs_on(seq))
+    total = sum(sizes)
+    enough = bool(sizes) and (total >= LEAST or total + len(WIDE.findall(text)) >= LEAST or len(LIST_SIGN.findall(text)) >= LISTED)
+    return np.array(ids, np.int16).tobytes(), np.array(sizes, np.int32).tobytes(), np.array(lengths, np.int32).tobytes(), np.array(marks, np.int8).tobytes(), enough
+
+
+class Batch:
+    """Pages as arrays: the trigrams of all blocks, ends included, and what is known of blocks."""
+
+    def __init__(self, ids: list[bytes], sizes: list[bytes], lengths: list[bytes], marks: list[bytes]) -> None:
+        self.pages = len(ids)
+        self.sizes, n, self.marks = np.frombuffer(b"".join(sizes), np.int32), np.frombuffer(b"".join(lengths), np.int32).astype(np.int64), np.frombuffer(b"".join(marks), np.int8)
+        self.page = np.repeat(np.arange(self.pages), [len(x) // 4 for x in sizes])
+        self.tokens = n + 1
+        # Every block is two starts, its classes, one end.
+        seq = np.full(int((n + 3).sum()), START, np.int64)
+        first = np.cumsum(n + 3) - (n + 3)
+        at = np.arange(len(seq)) - np.repeat(first, n + 3)
+        inner = (at >= 2) & (at < np.repeat(n + 2, n + 3))
+        seq[inner] = np.frombuffer(b"".join(ids), np.int16)
+        seq[first + n + 2] = END
+        self.grams = ((seq[:-2] * WIDTH + seq[1:-1]) * WIDTH + seq[2:])[at[:-2] < np.repeat(n + 1, n + 3)[:-2]] if len(n) else np.zeros(0, np.int64)
+        self.block = np.repeat(np.arange(len(n)), n + 1)
+
 
+class Model:
+    """Interpolated trigram model of class sequences, in bits a token. keys: sorted numbers of trigrams."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.counts = keys, counts
+        n = counts.astype(float)
+        self.pair = np.bincount(keys // WIDTH, n, WIDTH * WIDTH)  # contexts
+        two = np.bincount(keys % (WIDTH * WIDTH), n, WIDTH * WIDTH)
+        one, before = np.bincount(keys % WIDTH, n, WIDTH), np.bincount(keys // WIDTH % WIDTH, n, WIDTH)
+        p1 = (one + 0.5) / (one.sum() + 0.5 * (np.count_nonzero(one) + 1))
+        self.p2 = ((two.reshape(WIDTH, WIDTH) + 4 * p1) / (before[:, None] + 4)).ravel()
+        bits, total = self.bits(keys), max(1.0, n.sum())
+        self.mean = float((n * bits).sum() / total)
+        self.deviation = math.sqrt(max(0.0, float((n * bits * bits).sum() / total) - self.mean**2))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, grams), max(0, len(self.keys) - 1))
+        seen = np.where(self.keys[at] == grams, self.counts[at], 0) if len(self.keys) else np.zeros(len(grams))
+        return -np.log2((seen + 4 * self.p2[grams % (WIDTH * WIDTH)]) / (self.pair[grams // WIDTH] + 4))
+
+    def blocks(self, b: Batch, high: float = HIGH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bits a token, whether far above prose, whether far below) of each block."""
+        v = np.bincount(b.block, self.bits(b.grams), len(b.tokens)) / b.tokens
+        return v, v > self.mean + high + SPREAD * self.deviation / np.sqrt(b.tokens), (v < self.mean - LOW) & (b.tokens > LONG)
+
+    def score(self, b: Batch, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Perplexity of each page and deviation of its most abnormal block (NaN for pages without blocks), share of characters in abnormal blocks, flag.
+
+        Odd order alone, as of sentences without stops, isn't abnormal: a block with the function words of prose and few repeats and links is not counted for being far above.
+        """
+        v, high, low = self.blocks(b)
+        odd = high & (b.marks & RUNS_ON == 0) | low
+        of = lambda x: np.bincount(b.page, x, b.pages)
+        total, bad, tokens = of(b.sizes), of(b.sizes * odd), of(b.tokens)
+        far = np.abs(v - self.mean)
+        worst = np.zeros(b.pages)
+        np.maximum.at(worst, b.page, far)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            perplexity = np.exp2(np.minimum(60.0, of(v * b.tokens) / tokens))
+        none = tokens == 0
+        perplexity[none] = worst[none] = np.nan
+        return perplexity, worst, bad / np.maximum(1, total), (bad > 0.5 * total) & (of(far * b.tokens * odd) >= EVIDENCE) & enough
+
+    def page(self, text: str | None) -> tuple[float, float, float, bool]:
+        *parts, enough = encode(text)
+        return tuple(x[0] for x in self.score(Batch(*([x] for x in parts)), np.array([enough])))
+
+
+def _batch(batch: pa.RecordBatch, first: int) -> Batch:
+    return Batch(*(batch.column(first + k).to_pylist() for k in range(4)))
+
+
+def encoded(documents: DataFrame, keep: str = "doc_id", text: str = "text") -> DataFrame:
+    """keep and the page as PAGES, computed once."""
+    schema = documents.select(keep).withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in PAGES.split(", ")}).schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [encode(t.as_py()) for t in batch.column(1)]
+            cols = [*zip(*rows)] if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=schema.names)
 
-def ngrams(seq: list[str], into: Counter) -> None:
-    a = b = "^"
-    for x in [*seq, "$$"]:
-        into[f"{a}\t{b}\t{x}"] += 1
-        a, b = b, x
+    return materialize(spread(documents.select(keep, text)).mapInArrow(run, schema))
 
 
-def train(documents: DataFrame, text: str = "text", most: int = 200_000) -> Model:
-    """The model of the prose blocks of all documents. most: entries that a worker holds before it passes sums on."""
+def fit(pages: DataFrame, before: Model | None = None) -> Model:
+    """The model of the blocks that `before` finds normal; without one, of those that aren't lists by form."""
+    shared = pages.sparkSession.sparkContext.broadcast(before and (before.keys, before.counts))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        model = Model(*shared.value) if shared.value else None
         for batch in batches:
-            for t in batch.column(0):
-                t = t.as_py()
-                if t:
-                    for _, seq in blocks(t):
-                        if is_prose(seq):
-                            ngrams(seq, counts)
-            if len(counts) > most:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["gram", "n"])
-                counts.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["gram", "n"])
-
-    sums = spread(documents.select(text)).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return Model({r.gram: r.n for r in sums.toLocalIterator()})
-
-
-def score(documents: DataFrame, model: Model, keep: str = "doc_id", text: str = "text") -> DataFrame:
+            b = _batch(batch, 0)
+            if model:
+                _, high, low = model.blocks(b, TRAIN)
+                take = ~(high | low)
+            else:
+                take = b.marks & PROSE > 0
+            keys, n = np.unique(b.grams[take[b.block]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["gram", "n"])
+
+    sums = pages.select("ids", "sizes", "lengths", "marks").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    return Model(sums["gram"].to_numpy(), sums["n"].to_numpy())
+
+
+def train(pages: DataFrame) -> Model:
+    """The model of the prose of all pages (as from `encoded`)."""
+    return fit(pages, fit(pages))
+
+
+def score(pages: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
     """keep, perplexity, deviation (bits, of the most abnormal block), share (of characters in abnormal blocks), spam."""
-    shared = documents.sparkSession.sparkContext.broadcast(dict(model.c3))
-    schema = documents.select(keep).withColumns({"perplexity": F.lit(None).cast("double"), "deviation": F.lit(None).cast("double"), "share": F.lit(None).cast("double"), "spam": F.lit(None).cast("boolean")}).schema
+    shared = pages.sparkSession.sparkContext.broadcast((model.keys, model.counts))
+    schema = pages.select(keep).withColumns({"perplexity": F.lit(None).cast("double"), "deviation": F.lit(None).cast("double"), "share": F.lit(None).cast("double"), "spam": F.lit(None).cast("boolean")}).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = None
         for batch in batches:
-            m = m or Model(shared.value)
-            rows = [m.page(t.as_py()) for t in batch.column(1)]
-            cols = [*zip(*rows)] if rows else [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.float64(), pa.float64(), pa.bool_())))], names=schema.names)
+            m = m or Model(*shared.value)
+            perplexity, worst, share, spam = m.score(_batch(batch, 1), batch.column(5).to_numpy(zero_copy_only=False).astype(bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(perplexity, from_pandas=True), pa.array(worst, from_pandas=True), pa.array(share), pa.array(spam)], names=schema.names)
+
+    return pages.select(keep, "ids", "sizes", "lengths", "marks", "enough").mapInArrow(run, schema)
+
 
-    return spread(documents.select(keep, text)).mapInArrow(run, schema)
+def scores(documents: DataFrame) -> DataFrame:
+    pages = encoded(documents)
+    return score(pages, train(pages))
 
 
 def found(documents: DataFrame) -> DataFrame:
     """doc_id of each page flagged."""
-    return score(documents, train(documents)).filter("spam").select("doc_id").distinct()
+    return scores(documents).filter("spam").select("doc_id").distinct()

@@ -1,5 +1,6 @@
-from collections import Counter
+import math
 
+import numpy as np
 import pytest
 
 from dialectica.llm import spam
@@ -10,13 +11,9 @@ SPAM = ["cheap pizza · best pizza · pizza near me · pizza delivery · pizza d
 
 @pytest.fixture(scope="module")
 def model():
-    c = Counter()
-    for i in range(60):
-        for j in range(len(PROSE)):
-            for _, seq in spam.blocks(f"{PROSE[j]} {PROSE[(i + j) % len(PROSE)]}\n{PROSE[(3 * i + j) % len(PROSE)]}"):
-                if spam.is_prose(seq):
-                    spam.ngrams(seq, c)
-    return spam.Model(dict(c))
+    texts = [f"{PROSE[j]} {PROSE[(i + j) % len(PROSE)]}\n{PROSE[(3 * i + j) % len(PROSE)]}" for i in range(60) for j in range(len(PROSE))]
+    b = spam.Batch(*([*x] for x in [*zip(*(spam.encode(t) for t in texts))][:4]))
+    return spam.Model(*np.unique(b.grams[(b.marks & spam.PROSE > 0)[b.block]], return_counts=True))
 
 
 def test_spam_and_prose(model):
@@ -37,16 +34,52 @@ def test_lists_train_no_model():
 
 
 def test_counting_is_the_same_however_tables_are_cut(spark):
-    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(PROSE * 5)], "doc_id bigint, text string, gram string")
-    assert spam.train(df.repartition(1)).c3 == spam.train(df.repartition(7), most=5).c3
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate((PROSE + SPAM) * 5)], "doc_id bigint, text string, gram string")
+    a, b = spam.train(spam.encoded(df.repartition(1))), spam.train(spam.encoded(df.repartition(7)))
+    assert (a.keys == b.keys).all() and (a.counts == b.counts).all() and len(a.keys)
+
+
+def test_model_equals_brute_force(model):
+    """Bits a token of blocks, from counts by class names."""
+    counts = {}
+    for k, n in zip(model.keys.tolist(), model.counts.tolist()):
+        counts[k // spam.WIDTH**2, k // spam.WIDTH % spam.WIDTH, k % spam.WIDTH] = n
+    total = sum(counts.values())
+    add = lambda f: {k: sum(n for g, n in counts.items() if f(g) == k) for k in {f(g) for g in counts}}
+    h3, c2, h2, c1 = add(lambda g: g[:2]), add(lambda g: g[1:]), add(lambda g: g[1]), add(lambda g: g[2])
+
+    def bits(a, b, x):
+        p1 = (c1.get(x, 0) + 0.5) / (total + 0.5 * (len(c1) + 1))
+        p2 = (c2.get((b, x), 0) + 4 * p1) / (h2.get(b, 0) + 4)
+        return -math.log2((counts.get((a, b, x), 0) + 4 * p2) / (h3.get((a, b), 0) + 4))
+
+    for t in PROSE[:4] + SPAM[:3] + ["", "Unseen; words — ☃ here"]:
+        *parts, _ = spam.encode(t)
+        b = spam.Batch(*([x] for x in parts))
+        want = []
+        for _, seq in spam.blocks(t):
+            ids = [spam.START, spam.START, *(spam.INDEX[c] for c in seq), spam.END]
+            want.append(sum(bits(*ids[i : i + 3]) for i in range(len(ids) - 2)) / (len(seq) + 1))
+        assert np.allclose(model.blocks(b)[0], want)
+
+
+def test_second_model_is_trained_by_the_first(spark):
+    """Lists that the form doesn't tell leave the second model if the first one finds them abnormal."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(PROSE * 40 + SPAM)], "doc_id bigint, text string")
+    pages = spam.encoded(df)
+    first = spam.fit(pages)
+    second = spam.fit(pages, first)
+    none = spam.fit(pages, spam.Model(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert 0.9 * first.counts.sum() < second.counts.sum() < 1.1 * first.counts.sum() and none.counts.sum() >= 0
+    assert {r.doc_id for r in spam.found(df).collect()} == {len(PROSE) * 40 + i for i in range(len(SPAM))}
 
 
 def test_edges(spark, model):
-    rows = [(1, None), (2, ""), (3, " \n "), (4, SPAM[0]), (4, SPAM[0]), (5, "!!! ???"), (6, "word"), (7, "x " * 200_000), (None, PROSE[0])]
+    rows = [(1, None), (2, ""), (3, " \n "), (4, SPAM[0]), (4, SPAM[0]), (5, "!!! ???"), (6, "word"), (7, "x " * 200_000), (None, PROSE[0]), (8, "<b " + "a" * 1000 + ">" + PROSE[0])]
     df = spark.createDataFrame([(i, t, True) for i, t in rows], "doc_id bigint, text string, spam boolean")
-    out = {r.doc_id: r for r in spam.score(df, model).collect()}
-    assert out[4].spam and not out[6].spam and not out[1].spam and out[2].perplexity is None and not out[None].spam and not out[5].spam
-    assert [r.doc_id for r in spam.found(df.limit(0)).collect()] == []
+    out = {r.doc_id: r for r in spam.score(spam.encoded(df), model).collect()}
+    assert out[4].spam and not out[6].spam and not out[1].spam and out[2].perplexity is None and not out[None].spam and not out[5].spam and not out[8].spam
+    assert spam.found(df.limit(0)).collect() == []
 
 
 def test_short_pages(model):
