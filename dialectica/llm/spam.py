@@ -78,64 +78,71 @@ WIDTH = len(CLASSES)
 START, END = INDEX["^"], INDEX["$$"]
 
 
+_WORD = {k: INDEX[k] for k in ("~w", "~C", "~@", "~h", "~K", "~H")}
+_FUNCTION_ID = {w: INDEX[w] for w in _FUNCTION}
+_SYM, _NL, _PRICE, _NUMBER = INDEX["sym"], INDEX["nl"], INDEX["$"], INDEX["0"]
+_FAR = -(10**9)
+
+
 class Page:
-    """Class sequences of one page's blocks."""
+    """Class numbers of one page's blocks."""
 
     def __init__(self) -> None:
         self.at = 0
         self.words: dict[str, int] = {}
-        self.phrases: dict[tuple[str, str], tuple[int, int]] = {}
+        self.phrases: dict[str, tuple[int, int]] = {}
         self.links: list[int] = []
         self.last = ""
 
-    def classes(self, text: str) -> list[str]:
-        out: list[str] = []
+    def classes(self, text: str) -> list[int]:
+        out: list[int] = []
         shout = text.isupper()
+        at, last, words, phrases = self.at, self.last, self.words, self.phrases
         for m in TOKEN.finditer(text):
-            kind, t = m.lastgroup, m.group()
+            kind = m.lastgroup
+            t = m.group()
+            at += 1
             if kind == "word" or kind == "cjk":
                 low = t.lower()
-                self.at += 1
-                phrase = (self.last, low)
-                at, times = self.phrases.get(phrase, (-(10**9), 0))
-                times = times + 1 if self.at - at <= PHRASE_BACK else 0
-                self.phrases[phrase] = (self.at, times)
-                self.last = low
-                if low in _FUNCTION:
-                    out.append(low)
-                    continue
-                plain = low.translate(_PLAIN)
-                near = kind == "word" and self.at - self.words.get(plain, -(10**9)) <= WORD_BACK
-                self.words[plain] = self.at
-                if plain != low and not low.isdigit():
-                    c = "~@"
-                elif kind == "cjk":
-                    o = ord(t)
-                    c = "~h" if o < 0x30A0 else "~K" if o < 0x3100 else "~H"
-                else:
-                    c = "~C" if t[0].isupper() and not shout else "~w"
-                out.append(c + ("RR" if times > 1 else "R" if times else "r" if near else ""))
-                continue
-            self.last = ""
-            self.at += 1
-            if kind == "num":
-                out.append("$" if t[0] in "$€£¥" else "0")
-            elif kind == "p":
-                if not out or out[-1] != (t if t in INDEX else "sym"):
-                    out.append(t if t in INDEX else "sym")
-            elif kind == "nl":
-                out.append("nl")
-            elif kind == "html" and t[:2].lower() != "<a":
-                continue  # mark-up other than links says nothing here
+                phrase = last + " " + low
+                before = phrases.get(phrase)
+                times = before[1] + 1 if before and at - before[0] <= PHRASE_BACK else 0
+                phrases[phrase] = (at, times)
+                last = low
+                c = _FUNCTION_ID.get(low)
+                if c is None:
+                    plain = low if low.isalpha() else low.translate(_PLAIN)
+                    near = kind == "word" and at - words.get(plain, _FAR) <= WORD_BACK
+                    words[plain] = at
+                    if plain != low and not low.isdigit():
+                        c = _WORD["~@"]
+                    elif kind == "cjk":
+                        o = ord(t)
+                        c = _WORD["~h" if o < 0x30A0 else "~K" if o < 0x3100 else "~H"]
+                    else:
+                        c = _WORD["~C" if t[0].isupper() and not shout else "~w"]
+                    c += 3 if times > 1 else 2 if times else 1 if near else 0
+                out.append(c)
             else:
-                self.links = [k for k in self.links if self.at - k <= LINK_BACK]
-                out.append(kind + "+" if len(self.links) >= 2 else kind)
-                self.links.append(self.at)
+                last = ""
+                if kind == "p":
+                    c = INDEX.get(t, _SYM)
+                    if not out or out[-1] != c:
+                        out.append(c)
+                elif kind == "num":
+                    out.append(_PRICE if t[0] in "$€£¥" else _NUMBER)
+                elif kind == "nl":
+                    out.append(_NL)
+                elif kind != "html" or t[:2].lower() == "<a":  # mark-up other than links says nothing here
+                    self.links = [k for k in self.links if at - k <= LINK_BACK]
+                    out.append(INDEX[kind + "+" if len(self.links) >= 2 else kind])
+                    self.links.append(at)
+        self.at, self.last = at, last
         return out
 
 
-def blocks(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(characters, classes) of each block; short pieces are joined until they have SHORT tokens."""
+def blocks(text: str) -> Iterator[tuple[int, list[int]]]:
+    """(characters, class numbers) of each block; short pieces are joined until they have SHORT tokens."""
     page, size, seq = Page(), 0, []
     for piece in _CUT.split(text):
         if not piece or piece.isspace():
@@ -146,7 +153,7 @@ def blocks(text: str) -> Iterator[tuple[int, list[str]]]:
             yield size, seq
             size, seq = 0, []
         if seq:
-            seq.append("nl")
+            seq.append(_NL)
         seq += c
         size += n
         if len(seq) >= SHORT:
@@ -156,59 +163,47 @@ def blocks(text: str) -> Iterator[tuple[int, list[str]]]:
         yield size, seq
 
 
-def is_prose(seq: list[str]) -> bool:
-    """Whether a block may train the model: not a list, by its form."""
-    n = len(seq)
-    again = sum(c[0] == "~" and c[-1] in "Rr" for c in seq)
-    often = sum(c.endswith("RR") and c[:2] != "~C" for c in seq)
-    links = sum(c in ("url", "tag", "html") for c in seq)
-    dense = any(c in ("url+", "tag+", "html+") for c in seq)
-    points = sum(c in _POINTS for c in seq)
-    marks = sum(c in _SEPARATORS for c in seq)
-    run = most = 0
-    for c in seq:
-        run = run + 1 if c[:2] in ("~w", "~C", "~@") else 0
-        most = max(most, run)
-    plain = sum(c in _FUNCTION or c[:2] == "~h" for c in seq)
-    fit = again <= 0.4 * n and often <= 0.1 * n and (links <= 1 or links <= 0.05 * n) and not dense and marks <= 3 and most <= 9
-    return fit and plain + points > 0 and (n < 24 or plain >= 0.1 * n)
+def _table(f) -> np.ndarray:
+    return np.array([bool(f(c)) for c in CLASSES])
 
 
-def runs_on(seq: list[str]) -> bool:
-    """Whether a block has the function words of prose and few repeats and links: then odd order alone, as of sentences without stops, isn't abnormal."""
-    n = len(seq)
-    plain = sum(c in _FUNCTION or c[:2] == "~h" for c in seq)
-    again = sum(c[0] == "~" and c[-1] in "Rr" for c in seq)
-    links = sum(c[:3] in ("url", "tag", "htm") for c in seq)
-    return plain >= 0.3 * n and again < 0.2 * n and links < 0.1 * n
+_IS_WORD = _table(lambda c: c[:2] in ("~w", "~C", "~@"))
+_MARKS = {
+    "again": _table(lambda c: c[0] == "~" and c[-1] in "Rr"),
+    "often": _table(lambda c: c.endswith("RR") and c[:2] != "~C"),
+    "first links": _table(lambda c: c in ("url", "tag", "html")),
+    "dense": _table(lambda c: c in ("url+", "tag+", "html+")),
+    "points": _table(lambda c: c in _POINTS),
+    "signs": _table(lambda c: c in _SEPARATORS),
+    "plain": _table(lambda c: c in _FUNCTION or c[:2] == "~h"),
+}
 
 
-PROSE, RUNS_ON = 1, 2
-#: What is kept of a page: numbers of the classes of all blocks in a row, and of each block its characters, tokens and marks; enough: whether the page is long enough, or list enough, to be flagged.
-PAGES = "ids binary, sizes binary, lengths binary, marks binary, enough boolean"
+#: What is kept of a page: numbers of the classes of all blocks in a row, and of each block its characters and tokens; enough: whether the page is long enough, or list enough, to be flagged.
+PAGES = "ids binary, sizes binary, lengths binary, enough boolean"
 
 
-def encode(text: str | None) -> tuple[bytes, bytes, bytes, bytes, bool]:
+def encode(text: str | None) -> tuple[bytes, bytes, bytes, bool]:
     """A page as PAGES."""
     ids: list[int] = []
-    sizes, lengths, marks = [], [], []
+    sizes, lengths = [], []
     if text and not text.isspace():
         for size, seq in blocks(text):
-            ids += [INDEX[c] for c in seq]
+            ids += seq
             sizes.append(size)
             lengths.append(len(seq))
-            marks.append(PROSE * is_prose(seq) + RUNS_ON * runs_on(seq))
     total = sum(sizes)
     enough = bool(sizes) and (total >= LEAST or total + len(WIDE.findall(text)) >= LEAST or len(LIST_SIGN.findall(text)) >= LISTED)
-    return np.array(ids, np.int16).tobytes(), np.array(sizes, np.int32).tobytes(), np.array(lengths, np.int32).tobytes(), np.array(marks, np.int8).tobytes(), enough
+    return np.array(ids, np.int16).tobytes(), np.array(sizes, np.int32).tobytes(), np.array(lengths, np.int32).tobytes(), enough
 
 
 class Batch:
     """Pages as arrays: the trigrams of all blocks, ends included, and what is known of blocks."""
 
-    def __init__(self, ids: list[bytes], sizes: list[bytes], lengths: list[bytes], marks: list[bytes]) -> None:
+    def __init__(self, ids: list[bytes], sizes: list[bytes], lengths: list[bytes]) -> None:
         self.pages = len(ids)
-        self.sizes, n, self.marks = np.frombuffer(b"".join(sizes), np.int32), np.frombuffer(b"".join(lengths), np.int32).astype(np.int64), np.frombuffer(b"".join(marks), np.int8)
+        self.sizes, n = np.frombuffer(b"".join(sizes), np.int32), np.frombuffer(b"".join(lengths), np.int32).astype(np.int64)
+        self.ids, self.n = np.frombuffer(b"".join(ids), np.int16), n
         self.page = np.repeat(np.arange(self.pages), [len(x) // 4 for x in sizes])
         self.tokens = n + 1
         # Every block is two starts, its classes, one end.
@@ -216,11 +211,36 @@ class Batch:
         first = np.cumsum(n + 3) - (n + 3)
         at = np.arange(len(seq)) - np.repeat(first, n + 3)
         inner = (at >= 2) & (at < np.repeat(n + 2, n + 3))
-        seq[inner] = np.frombuffer(b"".join(ids), np.int16)
+        seq[inner] = self.ids
         seq[first + n + 2] = END
         self.grams = ((seq[:-2] * WIDTH + seq[1:-1]) * WIDTH + seq[2:])[at[:-2] < np.repeat(n + 1, n + 3)[:-2]] if len(n) else np.zeros(0, np.int64)
         self.block = np.repeat(np.arange(len(n)), n + 1)
 
+    def marks(self) -> dict[str, np.ndarray]:
+        """Numbers of tokens of some kinds in each block, and the longest run of words without function words."""
+        of = np.repeat(np.arange(len(self.n)), self.n)
+        out = {k: np.bincount(of[table[self.ids]], minlength=len(self.n)) for k, table in _MARKS.items()}
+        # A run ends at a token of another kind or with its block.
+        word = _IS_WORD[self.ids].astype(np.int64)
+        total = np.cumsum(word)
+        starts = np.zeros(len(word), bool)
+        starts[(np.cumsum(self.n) - self.n)[self.n > 0]] = True
+        reset = np.maximum.accumulate(np.where((word == 0) | starts, total - (word == 1) * starts, 0)) if len(word) else total
+        out["run"] = np.zeros(len(self.n), np.int64)
+        np.maximum.at(out["run"], of, total - reset)
+        return out
+
+    def prose(self) -> np.ndarray:
+        """Whether each block may train the first model: not a list, by its form."""
+        m, n = self.marks(), self.n
+        fit = (m["again"] <= 0.4 * n) & (m["often"] <= 0.1 * n) & ((m["first links"] <= 1) | (m["first links"] <= 0.05 * n)) & (m["dense"] == 0) & (m["signs"] <= 3) & (m["run"] <= 9)
+        return fit & (m["plain"] + m["points"] > 0) & ((n < 24) | (m["plain"] >= 0.1 * n))
+
+    def runs_on(self) -> np.ndarray:
+        """Whether each block has the function words of prose and few repeats and links: then odd order alone, as of sentences without stops, isn't abnormal."""
+        m, n = self.marks(), self.n
+        return (m["plain"] >= 0.3 * n) & (m["again"] < 0.2 * n) & (m["first links"] + m["dense"] < 0.1 * n)
+
 
 class Model:
     """Interpolated trigram model of class sequences, in bits a token. keys: sorted numbers of trigrams."""
@@ -253,7 +273,7 @@ class Model:
         Odd order alone, as of sentences without stops, isn't abnormal: a block with the function words of prose and few repeats and links is not counted for being far above.
         """
         v, high, low = self.blocks(b)
-        odd = high & (b.marks & RUNS_ON == 0) | low
+        odd = high & ~b.runs_on() | low
         of = lambda x: np.bincount(b.page, x, b.pages)
         total, bad, tokens = of(b.sizes), of(b.sizes * odd), of(b.tokens)
         far = np.abs(v - self.mean)
@@ -271,7 +291,7 @@ class Model:
 
 
 def _batch(batch: pa.RecordBatch, first: int) -> Batch:
-    return Batch(*(batch.column(first + k).to_pylist() for k in range(4)))
+    return Batch(*(batch.column(first + k).to_pylist() for k in range(3)))
 
 
 def encoded(documents: DataFrame, keep: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,8 +301,8 @@ def encoded(documents: DataFrame, keep: str = "doc_id", text: str = "text") -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [encode(t.as_py()) for t in batch.column(1)]
-            cols = [*zip(*rows)] if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in cols[:4]), pa.array(cols[4], pa.bool_())], names=schema.names)
+            cols = [*zip(*rows)] if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in cols[:3]), pa.array(cols[3], pa.bool_())], names=schema.names)
 
     return materialize(spread(documents.select(keep, text)).mapInArrow(run, schema))
 
@@ -299,11 +319,11 @@ def fit(pages: DataFrame, before: Model | None = None) -> Model:
                 _, high, low = model.blocks(b, TRAIN)
                 take = ~(high | low)
             else:
-                take = b.marks & PROSE > 0
+                take = b.prose()
             keys, n = np.unique(b.grams[take[b.block]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["gram", "n"])
 
-    sums = pages.select("ids", "sizes", "lengths", "marks").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
+    sums = pages.select("ids", "sizes", "lengths").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).orderBy("gram").toArrow()
     return Model(sums["gram"].to_numpy(), sums["n"].to_numpy())
 
 
@@ -321,10 +341,10 @@ def score(pages: DataFrame, model: Model, keep: str = "doc_id") -> DataFrame:
         m = None
         for batch in batches:
             m = m or Model(*shared.value)
-            perplexity, worst, share, spam = m.score(_batch(batch, 1), batch.column(5).to_numpy(zero_copy_only=False).astype(bool))
+            perplexity, worst, share, spam = m.score(_batch(batch, 1), batch.column(4).to_numpy(zero_copy_only=False).astype(bool))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(perplexity, from_pandas=True), pa.array(worst, from_pandas=True), pa.array(share), pa.array(spam)], names=schema.names)
 
-    return pages.select(keep, "ids", "sizes", "lengths", "marks", "enough").mapInArrow(run, schema)
+    return pages.select(keep, "ids", "sizes", "lengths", "enough").mapInArrow(run, schema)
 
 
 def scores(documents: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ SPAM = ["cheap pizza · best pizza · pizza near me · pizza delivery · pizza d
 @pytest.fixture(scope="module")
 def model():
     texts = [f"{PROSE[j]} {PROSE[(i + j) % len(PROSE)]}\n{PROSE[(3 * i + j) % len(PROSE)]}" for i in range(60) for j in range(len(PROSE))]
-    b = spam.Batch(*([*x] for x in [*zip(*(spam.encode(t) for t in texts))][:4]))
-    return spam.Model(*np.unique(b.grams[(b.marks & spam.PROSE > 0)[b.block]], return_counts=True))
+    b = spam.Batch(*([*x] for x in [*zip(*(spam.encode(t) for t in texts))][:3]))
+    return spam.Model(*np.unique(b.grams[b.prose()[b.block]], return_counts=True))
 
 
 def test_spam_and_prose(model):
@@ -28,9 +28,29 @@ def test_share_decides(model):
     assert not model.page(prose + "\n\n" + SPAM[0])[3] and model.page(PROSE[0] + "\n\n" + SPAM[0] + "\n" + SPAM[3])[3]
 
 
+def batch(texts):
+    return spam.Batch(*([*x] for x in [*zip(*(spam.encode(t) for t in texts))][:3]))
+
+
 def test_lists_train_no_model():
-    assert not any(spam.is_prose(seq) for t in SPAM for _, seq in spam.blocks(t))
-    assert all(spam.is_prose(seq) for t in PROSE for _, seq in spam.blocks(t))
+    assert not batch(SPAM).prose().any() and batch(PROSE).prose().all()
+
+
+def test_marks_equal_brute_force():
+    texts = [*PROSE, *SPAM, "", "Word. Stop word word word. a b c d e f g h i j k l m n o p", " ".join(PROSE)]
+    names = [[spam.CLASSES[i] for i in seq] for t in texts for _, seq in spam.blocks(t)]
+    m = batch(texts).marks()
+
+    def run(seq):
+        most = now = 0
+        for c in seq:
+            now = now + 1 if c[:2] in ("~w", "~C", "~@") else 0
+            most = max(most, now)
+        return most
+
+    assert m["run"].tolist() == [run(s) for s in names]
+    assert m["again"].tolist() == [sum(c[0] == "~" and c[-1] in "Rr" for c in s) for s in names]
+    assert m["dense"].tolist() == [sum(c in ("url+", "tag+", "html+") for c in s) for s in names]
 
 
 def test_counting_is_the_same_however_tables_are_cut(spark):
@@ -58,7 +78,7 @@ def test_model_equals_brute_force(model):
         b = spam.Batch(*([x] for x in parts))
         want = []
         for _, seq in spam.blocks(t):
-            ids = [spam.START, spam.START, *(spam.INDEX[c] for c in seq), spam.END]
+            ids = [spam.START, spam.START, *seq, spam.END]
             want.append(sum(bits(*ids[i : i + 3]) for i in range(len(ids) - 2)) / (len(seq) + 1))
         assert np.allclose(model.blocks(b)[0], want)
 
