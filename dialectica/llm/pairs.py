@@ -4,7 +4,7 @@ For every defect several noisy labelling functions vote for it (+), against it (
 learns, by expectation maximization, how often each function gives each vote to defective and to sound pairs; it needs
 only the numbers of each pattern of votes, which are counted over all records on the executors (a few hundred patterns
 for any size of data). A record keeps every defect whose posterior exceeds that defect's cutoff; the cutoffs are
-checked on pairs with known defects in tests/llm.
+selected, for the models as fitted, on pairs with known defects that `made_pairs` makes (fixed number and seed).
 
 Defects: empty, truncated, refusal, copies_prompt, other_language.
 
@@ -15,8 +15,10 @@ delivered twice give the same votes and count once in the result.
 from __future__ import annotations
 
 import ast
+import functools
 import json
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,12 +26,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialectica.llm import made_pairs
 from dialectica.llm.spam import FUNCTION_WORDS
 from dialectica.session import materialize, spread
 
 DEFECTS = ("empty", "refusal", "copies_prompt", "other_language", "truncated")
-#: Least posterior of each defect.
-CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copies_prompt": 0.5, "other_language": 0.5, "truncated": 0.2}
+#: Range of the cutoffs.
+LEAST_CUTOFF, MOST_CUTOFF = 0.1, 0.9
+#: A labelling function takes answers of fewer letters and words as too short to argue; it is one vote of several and cuts nothing.
+SHORT_LETTERS, SHORT_WORDS = 400, 60
 #: Words that are a shell without content, keys of the answers, ends of sentences, marks of a cut.
 SHELL = frozenset("null none n/a na nil nan answer response output result json arguments undefined message text error empty".split())
 KEYS = frozenset("arguments id type text evidence support attack a1 a2 a3 a4".split())
@@ -61,19 +66,24 @@ for _w, _of in _LANGUAGES.items():
     _LANGUAGES[_w] = [(_l, 1.0 / len(_of)) for _l, _ in _of]
 
 
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
+_PLAIN_WORD = re.compile(r"[a-z0-9_]+")
+_LETTER, _KANA, _HAN, _HANGUL, _CYRILLIC, _ARABIC, _GREEK = (regex.compile(x) for x in (r"\p{L}", r"[\p{Hiragana}\p{Katakana}]", r"\p{Han}", r"\p{Hangul}", r"\p{Cyrillic}", r"\p{Arabic}", r"\p{Greek}"))
+
+
 def words(text: str) -> list[str]:
-    return regex.findall(r"[\p{L}\p{M}\p{N}_]+", text.lower())
+    return (_PLAIN_WORD if text.isascii() else _WORD).findall(text.lower())
 
 
 def language(text: str) -> tuple[str, float, float]:
     """(language, score, margin to the next) by script or function words; '' if nothing tells."""
-    letters = regex.findall(r"\p{L}", text)
+    letters = None if text.isascii() else _LETTER.findall(text)
     if letters:
         n = len(letters)
         latin = sum(c < "ɐ" for c in letters)
         if latin < 0.6 * n:
-            kana = len(regex.findall(r"[\p{Hiragana}\p{Katakana}]", text))
-            counts = {"ja": 3 * kana, "zh": 0 if kana else len(regex.findall(r"\p{Han}", text)), "ko": len(regex.findall(r"\p{Hangul}", text)), "ru": len(regex.findall(r"\p{Cyrillic}", text)), "ar": len(regex.findall(r"\p{Arabic}", text)), "el": len(regex.findall(r"\p{Greek}", text))}
+            kana = len(_KANA.findall(text))
+            counts = {"ja": 3 * kana, "zh": 0 if kana else len(_HAN.findall(text)), "ko": len(_HANGUL.findall(text)), "ru": len(_CYRILLIC.findall(text)), "ar": len(_ARABIC.findall(text)), "el": len(_GREEK.findall(text))}
             best = max(counts, key=counts.get)  # type: ignore[arg-type]
             if counts[best] > 0.2 * n:
                 return best, 9.0, 9.0
@@ -87,6 +97,12 @@ def language(text: str) -> tuple[str, float, float]:
     return order[0][0], order[0][1], order[0][1] - (order[1][1] if len(order) > 1 else 0.0)
 
 
+@functools.lru_cache(maxsize=4096)
+def asked_in(instructions: str) -> tuple[str, float, float]:
+    """The language of a prompt's instructions, of which a corpus has few."""
+    return language(instructions)
+
+
 #: A { up to NEAR characters from the start opens the answer; farther on, only one that opens an object of arguments, or at which the text is cut.
 NEAR = 200
 LATE = regex.compile(r"""\{\s*(?:["']arguments["']\s*:|["']?\w*\s*$)""")
@@ -94,30 +110,33 @@ LATE = regex.compile(r"""\{\s*(?:["']arguments["']\s*:|["']?\w*\s*$)""")
 
 def open_ended(text: str) -> bool | None:
     """Whether brackets or a string are left open; None if the answer isn't of that form."""
-    s = regex.sub(r"^\s*>?\s*(?:```\w*\s*)?", "", text)
+    s = _FENCE.sub("", text)
     at = s.find("{") if s[:1] not in "{[" else 0
     if at > NEAR and (m := LATE.search(s)):
         at = m.start()
     elif at > NEAR:
         return None
-    if at < 0 or at > 0 and regex.search(r"A\d+\s*\((?:support|attack)\)", s[:at]):
+    if at < 0 or at > 0 and _PLAIN_HEAD.search(s, 0, at):
         return None
-    depth, quote, skip = 0, "", False
-    for c in s[at:]:
-        if quote:
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = True
-            elif c == quote:
-                quote = ""
-        elif c in "{[":
+    depth = 0
+    while m := _STRUCTURE.search(s, at):
+        c = m[0]
+        at = m.end()
+        if c in "{[":
             depth += 1
         elif c in "}]":
             depth = max(0, depth - 1)
-        elif c == '"' or c == "'" and depth:
-            quote = c
-    return bool(quote) or depth > 0
+        elif c == '"' or depth:
+            end = (_DOUBLE if c == '"' else _SINGLE).match(s, at)
+            if not end:
+                return True
+            at = end.end()
+    return depth > 0
+
+
+_STRUCTURE, _DOUBLE, _SINGLE = re.compile(r"[\[\]{}\"']"), re.compile(r'(?:[^"\\]|\\.)*+"', re.S), re.compile(r"(?:[^'\\]|\\.)*+'", re.S)
+_FENCE, _PLAIN_HEAD, _NO_WORDS, _ROWS = regex.compile(r"^\s*>?\s*(?:```\w*\s*)?"), regex.compile(r"A\d+\s*\((?:support|attack)\)"), regex.compile(r"(?i)\bn/a\b|</?\w+>|```\w*"), regex.compile(r"(?m)^.*\|.*$")
+_TAIL, _ITEM_TAIL, _EVIDENCE, _OPEN_ITEM = regex.compile(r"[\s\"'`)}\]]+$"), regex.compile(r"[\s\"')\]]+$"), regex.compile(r"\bEvidence\s*:\s*\S"), regex.compile(r"\n\s*A\d*\s*(?:\([a-z]*)?\s*$")
 
 
 def parsed(text: str):
@@ -159,33 +178,39 @@ def arguments(text: str, value) -> list[str]:
     return found or [x.strip() for x in _PLAIN.findall(text) if x.strip()]
 
 
-def votes(prompt: str | None, raw: str | None) -> dict[str, str]:
-    """Each defect's votes, one character for each labelling function."""
+def votes(prompt: str | None, raw: str | None, given: str | None = None) -> dict[str, str]:
+    """Each defect's votes, one character for each labelling function. given: the answer's JSON, if that is known to be readable."""
     text = raw or ""
     bare = INVISIBLE.sub(" ", text).strip()
-    value = parsed(text)
+    try:
+        value = json.loads(given) if given and bare else None
+    except (ValueError, RecursionError):
+        value = None
+    if value is None:
+        value = parsed(text)
     args = arguments(text, value)
     inner = [s for s in strings(value) if s.strip()] if value is not None else []
     said = " ".join(inner) if inner else _STRING.sub(lambda m: " " if m[2] else f" {m[1]} ", bare) if bare[:1] in "{[" else bare
     a, b = text.find("{"), text.rfind("}")
     if inner and b > a >= 0:
         said = f"{text[:a]} {said} {text[b + 1:]}"
-    content = [w for w in words(regex.sub(r"(?i)\bn/a\b|</?\w+>|```\w*", " ", said)) if w not in SHELL]
+    content = [w for w in words(_NO_WORDS.sub(" ", said)) if w not in SHELL]
     letters = sum(len(w) for w in content if not w.isdigit())
     out = {}
     sign = lambda yes, no=True: "+" if yes else "-" if no else "0"
 
-    out["empty"] = sign(not bare) + sign(letters == 0) + sign(value is not None and not inner and letters == 0, bool(inner)) + sign(letters < 3 and len(bare) < 400, letters >= 12)
+    out["empty"] = sign(not bare) + sign(letters == 0) + sign(value is not None and not inner and letters == 0, bool(inner)) + sign(letters < 3, letters >= 12)
 
     structured = sum(sum(map(len, words(x))) >= 12 for x in args)
-    speaks = bool(FIRST.search(said) or HEDGES.search(said))
+    first, hedges = bool(FIRST.search(said)), bool(HEDGES.search(said))
+    speaks = first or hedges
     refuses = bool(REFUSALS.search(said.replace("’", "'")))
-    own = [x for x in args if REFUSALS.search(x.replace("’", "'"))]
+    own = [x for x in args if REFUSALS.search(x.replace("’", "'"))] if refuses else []
     out["refusal"] = (
         sign(refuses and (structured < 2 or 2 * len(own) >= len(args)))
-        + sign(bool(HEDGES.search(said)), False)
-        + sign(bool(FIRST.search(said)) and structured < 2 and letters > 0, structured >= 2 or letters == 0)
-        + sign(speaks and 0 < letters < 400 and len(content) < 60 and structured - len(own) < 1 and not any(c in said for c in "|="), structured >= 2)
+        + sign(hedges, False)
+        + sign(first and structured < 2 and letters > 0, structured >= 2 or letters == 0)
+        + sign(speaks and 0 < letters < SHORT_LETTERS and len(content) < SHORT_WORDS and structured - len(own) < 1 and not any(c in said for c in "|="), structured >= 2)
     )
 
     declines = out["refusal"][0] == "+"
@@ -193,30 +218,27 @@ def votes(prompt: str | None, raw: str | None) -> dict[str, str]:
     share = 0.0
     if prompt and prompt.strip():
         pw, aw = ([w for w in words(x) if w not in KEYS] for x in (prompt, said))
-        grams = {tuple(pw[i : i + 3]) for i in range(len(pw) - 2)}
-        hits = [tuple(aw[i : i + 3]) in grams for i in range(len(aw) - 2)]
+        grams = set(zip(pw, pw[1:], pw[2:]))
+        hits = [g in grams for g in zip(aw, aw[1:], aw[2:])]
         share = sum(hits) / len(hits) if hits else 0.0
         run = most = 0
         for h in hits:
             run = run + 1 if h else 0
             most = max(most, run)
-        marks = sum(said.lower().count(m) for m in ("| categories:", "| rating:", "global_rating", "categories:"))
+        low = said.lower()
+        marks = sum(low.count(m) for m in ("| categories:", "| rating:", "global_rating", "categories:"))
         start = [w for w in words(said) if w not in ("sure", "prompt", "here", "ok", "okay")][:12]
         head = words(prompt)[:8]
         out["copies_prompt"] = (
             sign(share >= 0.5 and len(hits) >= 6, share < 0.4) + sign(most >= 14, most < 10) + sign(marks >= 1 and len(hits) >= 4) + sign(len(head) >= 5 and sum(w in start for w in head) >= min(6, len(head)) and len(hits) >= 6, False)
         )
         names = sorted({n.strip() for n in _NAME.findall(prompt)}, key=len, reverse=True)
-
-        def told(x: str) -> str:
-            for n in names:
-                x = x.replace(n, " ")
-            return x
-
-        clean = [told(x) for x in (args or [said])]
+        clean = list(args or [said])
+        for n in names:
+            clean = [x.replace(n, " ") for x in clean]
         full = " ".join(clean)
         lang, score, margin = language(full)
-        asked, sure, _ = language(prompt[:200] + " " + regex.sub(r"(?m)^.*\|.*$", " ", prompt))
+        asked, sure, _ = asked_in(_ROWS.sub(" ", prompt))
         tokens = [w for w in words(full) if not w.isdigit()]
         if asked and sure >= 1.5 and not declines and letters >= 12:
             own_words = sum(any(x == asked for x, _ in _LANGUAGES.get(w, ())) for w in tokens) / max(1, len(tokens))
@@ -234,11 +256,11 @@ def votes(prompt: str | None, raw: str | None) -> dict[str, str]:
     open_ = open_ended(text)
     if share >= 0.5 and 0 <= NEAR < text.find("{"):
         open_ = None  # braces of the copied prompt
-    tail = regex.sub(r"[\s\"'`)}\]]+$", "", bare)
+    tail = _TAIL.sub("", bare)
     json_like = open_ is not None
     ended = bool(tail) and tail[-1] in ENDS and not CUT.search(text)
-    shut = bool(args) and len(regex.findall(r"\bEvidence\s*:\s*\S", text)) >= len(args) and not regex.search(r"\n\s*A\d*\s*(?:\([a-z]*)?\s*$", text)
-    unended = sum(not regex.sub(r"[\s\"')\]]+$", "", x)[-1:] in ENDS or not x.strip() for x in args)
+    shut = bool(args) and len(_EVIDENCE.findall(text)) >= len(args) and not _OPEN_ITEM.search(text)
+    unended = sum(not _ITEM_TAIL.sub("", x)[-1:] in ENDS or not x.strip() for x in args)
     out["truncated"] = (
         ("0" if open_ is None or letters == 0 else sign(open_))
         + sign(bool(CUT.search(text)) and letters > 0, False)
@@ -249,73 +271,122 @@ def votes(prompt: str | None, raw: str | None) -> dict[str, str]:
     return out
 
 
+#: Numbers of labelling functions, where there are not four.
+FUNCTIONS = {"truncated": 5}
+
+
 def vote_table(pairs: DataFrame, key: str = "index") -> DataFrame:
     """key and a column of votes for each defect; no shuffle."""
     schema = pairs.select(key).withColumns({d: F.lit(None).cast("string") for d in DEFECTS}).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [votes(p.as_py(), r.as_py()) for p, r in zip(batch.column(1), batch.column(2))]
+            rows = [votes(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[d] for r in rows], pa.string()) for d in DEFECTS)], names=schema.names)
 
-    return spread(pairs.select(key, "prompt", "raw_output")).mapInArrow(run, schema)
+    return spread(pairs.select(key, "prompt", "raw_output", "parsed_json" if "parsed_json" in pairs.columns else F.lit(None).cast("string").alias("parsed_json"))).mapInArrow(run, schema)
 
 
-def label_model(counts: dict[str, int], rounds: int = 50, prior: float = 0.02, strength: float = 8.0) -> dict[str, float]:
-    """Posterior of the defect for each pattern of votes, by expectation maximization over the patterns' counts.
+#: Start of every label model: rate of the defect, votes of functions on defective and on sound pairs; STRENGTH pseudo-counts of it hold the model there while data are few.
+PRIOR, STRENGTH, ROUNDS = 0.02, 8.0, 50
+START = {True: {"+": 0.85, "-": 0.15}, False: {"+": 0.03, "-": 0.97}}
 
-    Votes are taken as independent given the label, and abstaining as telling nothing of it. Pseudo-counts (strength) hold the start: a function votes + for
-    defective pairs and - for sound ones more often than not.
-    """
+
+class LabelModel:
+    """Rate of a defect and how often each labelling function gives each vote. Votes are independent given the label, and abstaining tells nothing of it."""
+
+    def __init__(self, rate: float, table: dict[bool, list[dict[str, float]]]) -> None:
+        self.rate, self.table = rate, table
+
+    def posterior(self, pattern: str) -> float:
+        logs = {y: math.log(self.rate if y else 1 - self.rate) + sum(math.log(self.table[y][i][v]) for i, v in enumerate(pattern) if v != "0") for y in (True, False)}
+        top = max(logs.values())
+        w = {y: math.exp(v - top) for y, v in logs.items()}
+        return w[True] / (w[True] + w[False])
+
+
+def label_model(counts: dict[str, int], functions: int = 4) -> LabelModel:
+    """Fit by expectation maximization over the counts of the patterns of votes. Pseudo-counts hold the start: a function votes + for defective pairs and - for sound ones more often than not."""
     patterns = sorted(counts)
-    if not patterns:
-        return {}
-    n = len(patterns[0])
-    start = {True: {"+": 0.85, "-": 0.15}, False: {"+": 0.03, "-": 0.97}}
-    table = {y: [dict(start[y]) for _ in range(n)] for y in (True, False)}
-    rate = prior
-    post: dict[str, float] = {}
-    for _ in range(rounds):
-        for p in patterns:
-            logs = {y: math.log(rate if y else 1 - rate) + sum(math.log(table[y][i][v]) for i, v in enumerate(p) if v != "0") for y in (True, False)}
-            top = max(logs.values())
-            w = {y: math.exp(v - top) for y, v in logs.items()}
-            post[p] = w[True] / (w[True] + w[False])
-        total = sum(counts.values())
-        rate = (sum(counts[p] * post[p] for p in patterns) + strength * prior) / (total + strength)
+    n = len(patterns[0]) if patterns else functions
+    model = LabelModel(PRIOR, {y: [dict(START[y]) for _ in range(n)] for y in (True, False)})
+    total = sum(counts.values())
+    for _ in range(ROUNDS if patterns else 0):
+        post = {p: model.posterior(p) for p in patterns}
+        rate = (sum(counts[p] * post[p] for p in patterns) + STRENGTH * PRIOR) / (total + STRENGTH)
+        table: dict[bool, list[dict[str, float]]] = {True: [], False: []}
         for y in (True, False):
             for i in range(n):
-                mass = {v: strength * start[y][v] for v in "+-"}
+                mass = {v: STRENGTH * START[y][v] for v in "+-"}
                 for p in patterns:
                     if p[i] != "0":
                         mass[p[i]] += counts[p] * (post[p] if y else 1 - post[p])
                 s = sum(mass.values())
-                table[y][i] = {v: mass[v] / s for v in "+-"}
-    return post
+                table[y].append({v: mass[v] / s for v in "+-"})
+        model = LabelModel(rate, table)
+    return model
+
+
+@functools.lru_cache(maxsize=2)
+def known_votes(number: int = 1500, seed: int = 11) -> list[tuple[str, dict[str, str]]]:
+    """The defect (or none) and the votes of each made pair."""
+    return [(kind, votes(p, a)) for p, a, kind in made_pairs.make(number, seed)]
+
+
+def select_cutoffs(models: dict[str, LabelModel], known: list[tuple[str, dict[str, str]]] | None = None) -> dict[str, float]:
+    """For each defect the cutoff of the largest F1 on pairs with known defects, within the range of cutoffs: the middle, in log odds, of the best ones.
+
+    Of a pair with a defect, other defects that would be kept too count as wrong only if they come before it in the order of DEFECTS.
+    """
+    out = {}
+    for k, d in enumerate(DEFECTS):
+        scored = sorted(((models[d].posterior(v[d]), kind == d) for kind, v in known or known_votes() if kind == "none" or DEFECTS.index(kind) >= k), reverse=True)
+        yes, hits, best = sum(y for _, y in scored), 0, []
+        for i, (p, y) in enumerate(scored):
+            hits += y
+            following = scored[i + 1][0] if i + 1 < len(scored) else 0.0
+            if following < p:
+                best.append((2 * hits / (i + 1 + yes) if yes else 0.0, p, following))
+        top = max(best, default=(0.0, 1.0, 0.0))[0]
+        odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+        high, low = max((odds(p) for f, p, _ in best if f == top), default=0.0), min((odds(q) for f, _, q in best if f == top), default=0.0)
+        out[d] = min(MOST_CUTOFF, max(LEAST_CUTOFF, 1 / (1 + math.exp(-(high + low) / 2))))
+    return out
+
+
+class Posteriors:
+    """Votes of all records (kept), the label models and the cutoffs."""
+
+    def __init__(self, pairs: DataFrame, key: str = "index") -> None:
+        self.key, self.table = key, materialize(vote_table(pairs, key))
+        each = F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("votes")) for d in DEFECTS))
+        # One count of all patterns; there are at most 3 ** 5 for a defect.
+        counts: dict[str, dict[str, int]] = {d: {} for d in DEFECTS}
+        for r in self.table.select(F.inline(each)).groupBy("defect", "votes").agg(F.count("*").alias("n")).collect():
+            counts[r.defect][r.votes] = r.n
+        self.models = {d: label_model(counts[d], FUNCTIONS.get(d, 4)) for d in DEFECTS}
+        self.cutoffs = select_cutoffs(self.models)
+        self.known = {d: {p: self.models[d].posterior(p) for p in counts[d]} for d in DEFECTS}
 
+    def frame(self) -> DataFrame:
+        """key and the posterior of each defect, for each record. The models are literals of the plan."""
+        df = self.table
+        for d, post in self.known.items():
+            pairs_ = [F.lit(x) for kv in post.items() for x in kv]
+            df = df.withColumn(d, F.try_element_at(F.create_map(*pairs_), F.col(d)) if pairs_ else F.lit(None).cast("double"))
+        return df
 
-def posteriors(pairs: DataFrame, key: str = "index") -> DataFrame:
-    """key and the posterior of each defect, for each record."""
-    table = materialize(vote_table(pairs, key))
-    models = {}
-    for d in DEFECTS:
-        models[d] = label_model({r[d]: r.n for r in table.groupBy(d).agg(F.count("*").alias("n")).collect()})
-    # At most 3**5 patterns for a defect: the models are literals of the plan.
-    df = table
-    for d, post in models.items():
-        pairs_ = [F.lit(x) for kv in post.items() for x in kv]
-        df = df.withColumn(d, F.try_element_at(F.create_map(*pairs_), F.col(d)) if pairs_ else F.lit(None).cast("double"))
-    return df
+    def labels(self) -> DataFrame:
+        """key, defect, posterior, rank: every defect whose posterior exceeds its cutoff (a record may have several)."""
+        each = F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("posterior"), F.lit(self.cutoffs[d]).alias("cut"), F.lit(k).alias("rank")) for k, d in enumerate(DEFECTS)))
+        return self.frame().select(self.key, F.inline(F.filter(each, lambda x: x.posterior > x.cut))).drop("cut")
 
 
-def labels(post: DataFrame, key: str = "index", cutoffs: dict[str, float] | None = None) -> DataFrame:
-    """key, defect, posterior: every defect whose posterior exceeds its cutoff (a record may have several)."""
-    cut = CUTOFFS if cutoffs is None else cutoffs
-    each = F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("posterior"), F.lit(cut[d]).alias("cut"), F.lit(k).alias("rank")) for k, d in enumerate(DEFECTS)))
-    return post.select(key, F.inline(F.filter(each, lambda x: x.posterior > x.cut))).drop("cut")
+def labels(pairs: DataFrame, key: str = "index") -> DataFrame:
+    """key, defect, posterior, rank: every defect whose posterior exceeds its cutoff, for each delivery."""
+    return Posteriors(pairs, key).labels()
 
 
 def found(pairs: DataFrame, key: str = "index") -> DataFrame:
     """key and the one defect of each defective record: of several, the one that explains the others (order of DEFECTS)."""
-    several = labels(posteriors(pairs, key), key)
-    return several.groupBy(key).agg(F.min_by("defect", "rank").alias("defect"))
+    return labels(pairs, key).groupBy(key).agg(F.min_by("defect", "rank").alias("defect"))

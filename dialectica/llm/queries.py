@@ -26,7 +26,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.labels(pairs.posteriors(table(spark, folder, "generation_results"))).distinct()
+    return pairs.labels(table(spark, folder, "generation_results")).distinct()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -72,13 +72,35 @@ def test_sound_answers_of_odd_form():
     for odd in (good + ' and {"note": "done"}', "```json\n" + good + "\n```", "Of course.\n" + good, good.replace('"', "'").replace("user's", "users"), good[:-2] + ",]}"):
         v = P.votes(p, odd)
         assert "+" not in v["refusal"][:1] + v["empty"] + v["copies_prompt"] + v["other_language"], (odd, v)
-        assert model.get(v["truncated"], 0.0) < 0.5, (odd, v)
+        assert model.posterior(v["truncated"]) < 0.5, (odd, v)
 
 
 def test_label_model():
-    post = P.label_model({"---": 900, "+++": 60, "++0": 20, "000": 20, "+--": 5})
-    assert post["+++"] > 0.99 and post["++0"] > 0.9 and post["---"] < 0.01 and post["000"] < 0.3 and post["+--"] < 0.5
-    assert P.label_model({}) == {}
+    m = P.label_model({"---": 900, "+++": 60, "++0": 20, "000": 20, "+--": 5})
+    post = {p: m.posterior(p) for p in ("---", "+++", "++0", "000", "+--", "0++")}
+    assert post["+++"] > 0.99 and post["++0"] > 0.9 and post["---"] < 0.01 and post["000"] < 0.3 and post["+--"] < 0.5 and post["0++"] > 0.9
+    assert P.label_model({}).posterior("0000") == pytest.approx(P.PRIOR)
+
+
+def test_cutoffs_are_selected_on_known_pairs():
+    m = P.LabelModel(0.1, {True: [{"+": 0.9, "-": 0.1}], False: [{"+": 0.05, "-": 0.95}]})
+    models = {d: m for d in P.DEFECTS}
+    known = [("empty", {d: "+" for d in P.DEFECTS})] * 9 + [("none", {d: "-" for d in P.DEFECTS})] * 90
+    cut = P.select_cutoffs(models, known)
+    assert m.posterior("-") < cut["empty"] < m.posterior("+")
+    kinds = Counter(kind for kind, _ in P.known_votes())
+    assert set(kinds) == {*P.DEFECTS, "none"} and kinds["none"] == 1200
+
+
+def test_json_that_is_given_gives_the_same_votes():
+    for p, a, _ in P.made_pairs.make(300, 4):
+        value = P.parsed(a or "")
+        try:
+            given = (a or "")[(a or "").index("{") : (a or "").rindex("}") + 1] if value is not None else None
+            json.loads(given or "")
+        except ValueError:
+            given = None
+        assert P.votes(p, a, given) == P.votes(p, a)
 
 
 def test_edges(spark):
@@ -87,7 +109,7 @@ def test_edges(spark):
     got = {r["index"]: r.defect for r in P.found(df).collect()}
     assert got[1] == "empty" and got[3] == "empty" and got.get(2) not in ("other_language", "copies_prompt")
     assert P.found(df.limit(0)).count() == 0
-    assert P.labels(P.posteriors(df)).filter("`index` = 1 and defect = 'empty'").count() == 2
+    assert P.labels(df).filter("`index` = 1 and defect = 'empty'").count() == 2
 
 
 def test_answers_behind_a_long_preamble():
