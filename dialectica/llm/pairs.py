@@ -53,7 +53,8 @@ REFUSALS = regex.compile(
     regex.I,
 )
 HEDGES = regex.compile(r"\b(?:sorry|apologi[sz]e|apologies|unfortunately|regrettably|afraid|lo\s+siento|lamento|lamentablemente|désolée?|malheureusement|regrette|tut\s+mir\s+leid|leider|entschuldigung|mi\s+dispiace|purtroppo|desculpe|infelizmente|przepraszam|извините|к\s+сожалению)\b|申し訳|抱歉", regex.I)
-FIRST = regex.compile(r"(?:\b(?:i|i'm|i'd|i'll|i’m|my|me|je|j|ich|mir|yo|mi)\b|\bprefiero\b|\bpuedo\b)", regex.I)
+#: Words by which somebody speaks of themselves.
+FIRST = frozenset("i my me je j ich mir yo mi prefiero puedo".split())
 _PLAIN = regex.compile(r"\bA\d+\s*\((?:support|attack)\)\s*:\s*(.*?)(?=\s*\bEvidence\s*:|\n\s*A\d+\s*\(|$)", regex.S | regex.I)
 _FIELD = regex.compile(r"""["']text["']\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')""", regex.S)
 _STRING = regex.compile(r'"((?:[^"\\]|\\.)*)"\s*(:)?', regex.S)
@@ -75,8 +76,8 @@ def words(text: str) -> list[str]:
     return (_PLAIN_WORD if text.isascii() else _WORD).findall(text.lower())
 
 
-def language(text: str) -> tuple[str, float, float]:
-    """(language, score, margin to the next) by script or function words; '' if nothing tells."""
+def script(text: str) -> tuple[str, float, float] | None:
+    """The language that the script of a text tells; None for Latin and unknown scripts."""
     letters = None if text.isascii() else _LETTER.findall(text)
     if letters:
         n = len(letters)
@@ -87,16 +88,31 @@ def language(text: str) -> tuple[str, float, float]:
             best = max(counts, key=counts.get)  # type: ignore[arg-type]
             if counts[best] > 0.2 * n:
                 return best, 9.0, 9.0
+    return None
+
+
+def tally(of: list[str]) -> dict[str, float]:
+    """What function words among `of` tell for each language."""
     score: dict[str, float] = {}
-    for w in words(text):
+    for w in of:
         for lang, x in _LANGUAGES.get(w, ()):
             score[lang] = score.get(lang, 0.0) + x
+    return score
+
+
+def likeliest(score: dict[str, float]) -> tuple[str, float, float]:
+    """(language, score, margin to the next); '' if nothing tells."""
     if not score:
         return "", 0.0, 0.0
     order = sorted(score.items(), key=lambda x: -x[1])
     return order[0][0], order[0][1], order[0][1] - (order[1][1] if len(order) > 1 else 0.0)
 
 
+def language(text: str) -> tuple[str, float, float]:
+    """(language, score, margin to the next) by script or function words; '' if nothing tells."""
+    return script(text) or likeliest(tally(words(text)))
+
+
 @functools.lru_cache(maxsize=4096)
 def asked_in(instructions: str) -> tuple[str, float, float]:
     """The language of a prompt's instructions, of which a corpus has few."""
@@ -202,7 +218,8 @@ def votes(prompt: str | None, raw: str | None, given: str | None = None) -> dict
     out["empty"] = sign(not bare) + sign(letters == 0) + sign(value is not None and not inner and letters == 0, bool(inner)) + sign(letters < 3, letters >= 12)
 
     structured = sum(sum(map(len, words(x))) >= 12 for x in args)
-    first, hedges = bool(FIRST.search(said)), bool(HEDGES.search(said))
+    spoken = set(words(said))
+    first, hedges = not FIRST.isdisjoint(spoken), bool(HEDGES.search(said))
     speaks = first or hedges
     refuses = bool(REFUSALS.search(said.replace("’", "'")))
     own = [x for x in args if REFUSALS.search(x.replace("’", "'"))] if refuses else []
@@ -237,12 +254,14 @@ def votes(prompt: str | None, raw: str | None, given: str | None = None) -> dict
         for n in names:
             clean = [x.replace(n, " ") for x in clean]
         full = " ".join(clean)
-        lang, score, margin = language(full)
+        parts = [words(x) for x in clean]
+        tallies = [tally(x) for x in parts]
+        lang, score, margin = script(full) or likeliest({k: sum(t.get(k, 0.0) for t in tallies) for k in {k: 0 for t in tallies for k in t}})
         asked, sure, _ = asked_in(_ROWS.sub(" ", prompt))
-        tokens = [w for w in words(full) if not w.isdigit()]
+        tokens = [w for x in parts for w in x if not w.isdigit()]
         if asked and sure >= 1.5 and not declines and letters >= 12:
             own_words = sum(any(x == asked for x, _ in _LANGUAGES.get(w, ())) for w in tokens) / max(1, len(tokens))
-            by = [language(x) for x in clean]
+            by = [script(x) or likeliest(t) for x, t in zip(clean, tallies)]
             other = sum(x[0] not in ("", asked) and x[2] >= 0.5 for x in by)
             same = sum(x[0] == asked for x in by)
             foreign = lang not in ("", asked)
@@ -256,14 +275,15 @@ def votes(prompt: str | None, raw: str | None, given: str | None = None) -> dict
     open_ = open_ended(text)
     if share >= 0.5 and 0 <= NEAR < text.find("{"):
         open_ = None  # braces of the copied prompt
+    cut = bool(CUT.search(text))
     tail = _TAIL.sub("", bare)
     json_like = open_ is not None
-    ended = bool(tail) and tail[-1] in ENDS and not CUT.search(text)
+    ended = bool(tail) and tail[-1] in ENDS and not cut
     shut = bool(args) and len(_EVIDENCE.findall(text)) >= len(args) and not _OPEN_ITEM.search(text)
     unended = sum(not _ITEM_TAIL.sub("", x)[-1:] in ENDS or not x.strip() for x in args)
     out["truncated"] = (
         ("0" if open_ is None or letters == 0 else sign(open_))
-        + sign(bool(CUT.search(text)) and letters > 0, False)
+        + sign(cut and letters > 0, False)
         + ("0" if json_like or not letters or share >= 0.5 or declines else sign(not ended))
         + ("+" if unended else "0" if not args or open_ or not json_like and not ended else "-")
         + ("0" if json_like or not args or share >= 0.5 or declines or shut and not ended else sign(not shut))
