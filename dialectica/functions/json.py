@@ -29,9 +29,14 @@ def kind(v: Column) -> Column:
 
 def as_text(v: Column) -> Column:
     """A STRING value; null for any other kind."""
-    return F.when(kind(v) == "STRING", v.try_cast("string"))
+    return F.when(F.schema_of_variant(v) == "STRING", v.try_cast("string"))
+
+
+def is_object(v: Column) -> Column:
+    """Whether a value is an OBJECT; false for null."""
+    return v.try_cast("map<string,variant>").isNotNull()
 
 
 def elements(v: Column) -> Column:
     """The elements of an ARRAY value; null for any other kind."""
-    return F.when(kind(v) == "ARRAY", v.try_cast("array<variant>"))
+    return v.try_cast("array<variant>")

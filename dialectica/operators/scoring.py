@@ -29,6 +29,15 @@ def _spelled(v: Column) -> Column:
     return F.when(json.kind(v) == "STRING", v.try_cast("string")).when(json.kind(v) != "NULL", F.to_json(v))
 
 
+def readable(records: DataFrame, examples: DataFrame, raw: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The records that `gate` would not skip (all with readable JSON and a known example), with parsed and example.
+
+    The JSON comes out of a generator, so that the test for it doesn't parse it a second time.
+    """
+    known = examples.select(F.col("idx").alias("index"), F.struct(F.lit(True).alias("known"), *keep).alias("example"))
+    return records.join(known, "index").select("*", F.explode(F.filter(F.array(json.extract_object(raw)), lambda v: v.isNotNull())).alias("parsed"))
+
+
 def argument_array(parsed: Column) -> Column:
     """The arguments of a parsed answer: pos, id, arg_type, text, evidence, bare, reason; null if it holds no list of them.
 
@@ -40,7 +49,7 @@ def argument_array(parsed: Column) -> Column:
         said = json.as_text(get("evidence"))
         evidence = F.coalesce(F.transform(json.elements(get("evidence")), _spelled), F.when(said.isNotNull(), F.array(said)))
         gone = F.filter(F.array(*(F.when(get(k).isNull(), F.lit(k)) for k in ("id", "type", "text", "evidence"))), lambda x: x.isNotNull())
-        reason = F.when(json.kind(a) != "OBJECT", "not an object").otherwise(text.let(gone, lambda g: F.when(F.size(g) > 0, F.concat(F.lit("missing "), F.array_join(g, ", ")))))
+        reason = F.when(~json.is_object(a), "not an object").otherwise(text.let(gone, lambda g: F.when(F.size(g) > 0, F.concat(F.lit("missing "), F.array_join(g, ", ")))))
         parts = {"pos": i.cast("bigint"), "id": _spelled(get("id")), "arg_type": _spelled(get("type")), "text": _spelled(get("text")), "evidence": evidence, "bare": said.isNotNull(), "reason": reason}
         return F.struct(*(c.alias(k) for k, c in parts.items()))
 
@@ -69,7 +78,7 @@ def answer(raw: Column, low: float = 0.0, high: float = 1.0) -> Column:
         return F.struct(F.coalesce(text.let(number, lambda x: score.normalize_score(x, low, high)), F.lit(DEFAULT_SCORE)).alias("score"), reason.alias("reason"))
 
     default = F.struct(F.lit(DEFAULT_SCORE).alias("score"), F.lit(DEFAULT_REASON).alias("reason"))
-    return text.let(json.extract_object(raw), lambda v: F.when(json.kind(v) == "OBJECT", parts(v)).otherwise(default))
+    return text.let(json.extract_object(raw), lambda v: F.when(json.is_object(v), parts(v)).otherwise(default))
 
 
 def parse_score(raw: Column, low: float = 0.0, high: float = 1.0) -> tuple[Column, Column]:

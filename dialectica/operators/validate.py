@@ -48,7 +48,7 @@ def _argument(a: Column, i: Column, names: Column) -> Column:
     """The errors of argument number i (from 1)."""
     n = i.cast("string")
     id_, type_, said, evidence = (_get(a, k) for k in KEYS)
-    listed = F.coalesce(json.kind(evidence) == "ARRAY", F.lit(False))
+    listed = json.elements(evidence).isNotNull()
     items = F.coalesce(json.elements(evidence), F.expr("cast(array() as array<variant>)"))
 
     def item(e: Column, j: Column) -> Column:
@@ -74,7 +74,7 @@ def _argument(a: Column, i: Column, names: Column) -> Column:
     )
     tail = F.filter(F.transform(items, item), lambda e: e.isNotNull())
     no_object = _present(_error(F.lit(True), "invalid_argument_object", "Argument ", n, " is not an object."))
-    return F.when(json.kind(a) == "OBJECT", F.concat(head, tail.cast(ERRORS))).otherwise(no_object)
+    return F.when(json.is_object(a), F.concat(head, tail.cast(ERRORS))).otherwise(no_object)
 
 
 def errors(parsed: Column, names: Column) -> Column:
@@ -84,7 +84,7 @@ def errors(parsed: Column, names: Column) -> Column:
     def of_list(args: Column) -> Column:
         before = _present(_error(F.size(args) != ARGUMENTS, "wrong_argument_count", "Expected 4 arguments, got ", F.size(args), "."))
         each = F.flatten(F.transform(args, lambda a, i: _argument(a, i + 1, names)))
-        heads = F.transform(F.filter(args, lambda a: json.kind(a) == "OBJECT"), lambda a: F.struct(json.as_text(_get(a, "id")).alias("id"), json.as_text(_get(a, "type")).alias("type")))
+        heads = F.transform(F.filter(args, lambda a: json.is_object(a)), lambda a: F.struct(json.as_text(_get(a, "id")).alias("id"), json.as_text(_get(a, "type")).alias("type")))
         return F.concat(before, each, text.let(heads, after))
 
     def after(heads: Column) -> Column:
@@ -99,7 +99,7 @@ def errors(parsed: Column, names: Column) -> Column:
     checked = text.let(args, lambda x: F.when(x.isNull(), _present(_error(F.lit(True), "missing_arguments_list", "'arguments' field is missing or is not a list."))).otherwise(of_list(x)))
     return (
         F.when(parsed.isNull(), _present(_error(F.lit(True), "invalid_json", "Parsed JSON is None.")))
-        .when(json.kind(parsed) != "OBJECT", _present(_error(F.lit(True), "invalid_root_object", "Parsed output is not a JSON object.")))
+        .when(~json.is_object(parsed), _present(_error(F.lit(True), "invalid_root_object", "Parsed output is not a JSON object.")))
         .otherwise(checked)
     )
 

@@ -172,9 +172,9 @@ def mf_als_predictions(spark, d):
     return ratings.als_predictions(mf_rows(spark, d), given(spark, d))
 
 
-def _gated(spark, d, only_valid=False, keep=()):
+def _gated(spark, d, only_valid=False):
     r = records(spark, d).withColumn("parsed", json.extract_object(F.col("raw_output"))).withColumn("is_valid", F.col("validation.is_valid"))
-    return scoring.gate(r, given(spark, d), only_valid, keep)
+    return scoring.gate(r, given(spark, d), only_valid)
 
 
 def score_gate(spark, d):
@@ -183,7 +183,8 @@ def score_gate(spark, d):
 
 def _taken(spark, d, *keep):
     """Records with readable JSON and a known example, with the example's columns."""
-    return _gated(spark, d, keep=("target_item", *keep)).filter("skip is null").withColumn("target_name", F.col("example.target_item.name"))
+    df = scoring.readable(records(spark, d), given(spark, d), F.col("raw_output"), ("target_item", *keep))
+    return df.withColumn("target_name", F.col("example.target_item.name"))
 
 
 def _arguments(spark, d, *keep):

@@ -94,9 +94,9 @@ def parse_predictions(df: DataFrame, column: str = "value") -> DataFrame:
     """
     v = F.try_parse_json(column)
     get = lambda k: F.try_variant_get("r", f"$.{k}", "variant")
-    listed = df.select(F.posexplode(json.elements(v)).alias("pos", "r")).filter(json.kind(F.col("r")) == "OBJECT")
+    listed = df.select(F.posexplode(json.elements(v)).alias("pos", "r")).filter(json.is_object(F.col("r")))
     a = listed.select(*_prediction(get("user_id"), get("business_id"), get("score")))
-    mapped = df.select(F.posexplode(F.map_entries(F.when(json.kind(v) == "OBJECT", v.try_cast("map<string,variant>")))).alias("pos", "e")).filter(F.contains("e.key", F.lit("|||")))
+    mapped = df.select(F.posexplode(F.map_entries(F.when(json.is_object(v), v.try_cast("map<string,variant>")))).alias("pos", "e")).filter(F.contains("e.key", F.lit("|||")))
     parts = F.split("e.key", r"\|\|\|", 2)
     b = mapped.select(parts[0].alias("user_id"), parts[1].alias("business_id"), *_prediction(F.col("e.value"), F.col("e.value"), F.col("e.value"))[2:])
     return a.unionByName(b).filter("user_id is not null and business_id is not null and score is not null")
@@ -113,5 +113,5 @@ def _numbered(df: DataFrame) -> DataFrame:
     """Predictions of lines, in the order of the lines."""
     v = F.try_parse_json("line")
     get = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
-    rows = df.withColumn("pos", F.col("ord")).filter(json.kind(v) == "OBJECT").select(*_prediction(get("user_id"), get("business_id"), get("score")))
+    rows = df.withColumn("pos", F.col("ord")).filter(json.is_object(v)).select(*_prediction(get("user_id"), get("business_id"), get("score")))
     return rows.filter("user_id is not null and business_id is not null and score is not null")
