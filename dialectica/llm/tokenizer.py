@@ -3,8 +3,9 @@
 The merge loop is a hierarchical-bitmap rank queue: one bucket for each merge rank holds the positions (nodes of a
 linked list over the pre-token's symbols) where that merge applies; a three-level bitmap over the ranks finds the
 lowest filled bucket by find-first-set; entries whose symbols have changed meanwhile are stale and skipped. Every
-merge costs a bounded number of word operations, so a pre-token of a million characters is encoded in time close to
-linear, where a rescan of all pairs would be quadratic.
+merge costs a bounded number of word operations and one step of its bucket's heap, which keeps the positions in order
+(logarithmic in the bucket's size), so a pre-token of a million characters is encoded in time close to linear, where a
+rescan of all pairs would be quadratic.
 
 Defined results: null and empty texts give an empty list; blank texts are encoded as they are; strings that spell a
 special token are ordinary text.
