@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that count as white space when a text is stripped (as a regular-expression class).
-WHITE = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters that count as white space when a text is stripped.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: The attributes shown in prompts, in order, with their labels.
 ATTRIBUTE_LABELS = {
@@ -127,12 +127,12 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """c without outer white space of any kind."""
-    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean_attribute(c: Column) -> Column:
     """An attribute text without its quotes and Unicode prefix; null for null and for any spelling of none."""
-    v = F.regexp_replace(F.replace(strip(c), F.lit("u'"), F.lit("'")), "^'+|'+$", "")
+    v = F.btrim(F.replace(strip(c), F.lit("u'"), F.lit("'")), F.lit("'"))
     return let(v, lambda x: F.when(F.lower(x) == "none", None).otherwise(x))
 
 
