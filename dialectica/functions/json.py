@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Key that closes the wrapper below; a candidate that holds it isn't accepted.
-_END = "\\u0000end"
+#: Keys of the wrapper below, which no candidate holds.
+_VALUE, _END = "\0v", "\0end"
 
 
 def extract_object(text: Column) -> Column:
     """The JSON between the first { and the last } of a text, as VARIANT; null if it isn't one strict JSON value.
 
-    The parser accepts text behind a value, so the candidate is parsed inside a wrapper whose keys are then checked.
+    The parser accepts text behind a value, so the candidate is parsed inside a wrapper, which then must have its two keys and no other.
     """
     found = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    wrapped = F.concat(F.lit('{"v":'), found, F.lit(f',"{_END}":1}}'))
-    parsed = F.try_parse_json(wrapped)
-    whole = F.json_object_keys(wrapped) == F.array(F.lit("v"), F.lit("\0end"))
-    return F.when(whole, F.try_variant_get(parsed, "$.v", "variant"))
+    wrapped = F.concat(F.lit('{"\\u0000v":'), found, F.lit(',"\\u0000end":1}'))
+    keys = F.transform(F.array(F.try_parse_json(wrapped).try_cast("map<string,variant>")), lambda m: F.when(F.map_keys(m) == F.array(F.lit(_END), F.lit(_VALUE)), m[_VALUE]))
+    return keys[0]
 
 
 def kind(v: Column) -> Column:
