@@ -51,7 +51,9 @@ def edges(args: Column) -> Column:
 
 def with_graph(records: DataFrame, root_base_score: float = 0.5) -> DataFrame:
     """records (target_name and args) with nodes and edges."""
-    df = records.filter(F.size("args") > 0)
+    # Out of a generator, since a filter would be moved down and compute the arguments a second time.
+    some = F.explode(F.when(F.size("args") > 0, F.array("args"))).alias("args")
+    df = records.select(*(c for c in records.columns if c != "args"), some)
     return df.withColumns({"nodes": nodes(F.col("args"), F.col("target_name"), root_base_score), "edges": edges(F.col("args"))})
 
 
