@@ -11,17 +11,19 @@ chain. A review's score is that of its worst sentence.
 The models are fitted on the labelled sample alone (at most MOST_LABELS rows, read by the driver); a labelled text names
 no sentence, so its worst sentence is taken as the labelled one, round by round.
 
-Sentences that hold no word of the lexical classes and no marker (a word that the first model has learned to be harmful)
-have the score of an empty sentence. Most texts hold none, which a linear pass of the columnar engine over each batch
-tells.
+Every sentence of every text is scored with all that was learned. A pass of the columnar engine over the sentences in
+plain spelling tells those that may hold a word of the lexical classes; only for these the classes are looked up one by
+one, the others' vector is that of no class. Words, pairs and letter sequences are hashed and summed as arrays, for all
+sentences. The least score is that of an empty sentence.
 
 Defined results: null, empty and blank texts are no reviews of this table and get no row; labels that are null or
-unknown are left out of training; without labels every probability is 0.
+unknown are left out of training; without labels every probability is 0. Bytes that aren't UTF-8 count as a sign.
 """
 
 from __future__ import annotations
 
 import functools
+import string
 import unicodedata
 import zlib
 from collections import Counter
@@ -45,6 +47,7 @@ _ALIKE = dict(zip("асеорхуѕіјһԁѵгкмтвнзαοερντικυχ
 _ALIKE |= {"ı": "i", "ł": "l", "ø": "o", "ß": "ss"}
 _LEET = {"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "|": "i", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "9": "g", "€": "e", "£": "l"}
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])[\p{L}@$!0-9]([ .\-_*·]{1,2})[\p{L}@$!0-9](?:\1[\p{L}@$!0-9]){2,}(?![\p{L}\p{N}*@$])")
+_UNSEEN = regex.compile(r"\p{Cf}")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!+|*€£]+(?:['’\-][\p{L}\p{M}\p{N}@$!+*]+)*")
 _CUT = regex.compile(r"(?<=[.!?…])[\s\"')]+|(?<=[。！？])|\n+|<br ?/?>")
 
@@ -73,22 +76,23 @@ _PEOPLE = regex.compile(r"\b(?:[Tt]hose|[Tt]hese|all|[Tt]ypical|[Aa]ll|by|with|w
 
 def normal(text: str) -> str:
     """The text in plain spelling: lower case, look-alikes, signs for letters, spaced and drawn-out letters undone."""
-    t = unicodedata.normalize("NFKC", text)
-    t = regex.sub(r"[\p{Cf}]", "", t)
+    t = text
+    if not t.isascii():
+        t = _UNSEEN.sub("", unicodedata.normalize("NFKC", t))
     t = _SPACED.sub(lambda m: regex.sub(r"[ .\-_*·]", "", m[0]), t)
+    return _TOKEN.sub(lambda m: _normal_word(m[0]), t).replace("’", "'").replace("\n", " ")
 
-    def word(m: regex.Match) -> str:
-        w = m[0].lower()
-        if not w.isascii() and regex.search(r"[a-z]", w) or not w.isascii() and all(c in _ALIKE or c.isascii() for c in w):
-            w = "".join(_ALIKE.get(c, c) for c in w)
-        if any(c.isalpha() for c in w) and any(c in _LEET for c in w.rstrip("!")) and regex.search(r"[a-z]", w):
-            v = "".join(_LEET.get(c, c) for c in w.rstrip("!"))
-            if not regex.fullmatch(r"\d+[a-z]{1,2}", w):
-                w = v
-        w = regex.sub(r"([a-z])\1{2,}", r"\1", w)
-        return w
 
-    return _TOKEN.sub(word, t).replace("’", "'").replace("\n", " ")
+@functools.lru_cache(maxsize=50_000)
+def _normal_word(token: str) -> str:
+    w = token.lower()
+    if not w.isascii() and regex.search(r"[a-z]", w) or not w.isascii() and all(c in _ALIKE or c.isascii() for c in w):
+        w = "".join(_ALIKE.get(c, c) for c in w)
+    if any(c.isalpha() for c in w) and any(c in _LEET for c in w.rstrip("!")) and regex.search(r"[a-z]", w):
+        v = "".join(_LEET.get(c, c) for c in w.rstrip("!"))
+        if not regex.fullmatch(r"\d+[a-z]{1,2}", w):
+            w = v
+    return regex.sub(r"([a-z])\1{2,}", r"\1", w)
 
 
 #: What a plain text never holds: other letters than ASCII, signs inside words, drawn-out or spaced letters, stars.
@@ -120,20 +124,31 @@ _PAIRS = [("insult", "target"), ("insult", "self"), ("insult", "report"), ("insu
 WIDTH = len(NAMES) + len(_PAIRS) + 4
 
 
-#: A text of plain words may hold a word of the classes: their patterns without look-behinds, which the columnar engine lacks.
-_GATES = [rf"(?:^|[^\p{{L}}\p{{N}}])(?:{regex.sub(chr(92) + '(' + chr(92) + '?<!(?:[^)]*)' + chr(92) + ')', '', LEXICON[k])})" for k in _GATE] + [_ANYWHERE[k].pattern for k in _GATE if _ANYWHERE[k].pattern != "(?!)"]
-#: What a text of plain words never holds: look-alikes, invisible characters, signs or digits inside words, drawn-out or spaced letters, stars.
-_DISGUISE = "|".join(
-    [r"[\p{Greek}\p{Cyrillic}\p{Cf}ıłøßԁɑɡⅼ]", r"(?-i:[\x{ff00}-\x{ffef}\x{2100}-\x{214f}\x{1d400}-\x{1d7ff}\x{fb00}-\x{fb06}])", r"\p{L}[@$+|*€£!0-9][\p{L}@$+|*€£!0-9]", r"(?:^|[^\p{L}\p{N}])[@$+|€£0-9]+\p{L}", r"\p{L}\*|\*\p{L}", *(f"{c}{c}{c}" for c in "abcdefghijklmnopqrstuvwxyz"), r"(?:^|[^\p{L}\p{N}])[\p{L}@$!0-9](?:[ .\-_*·]{1,2}[\p{L}@$!0-9]){3}"]
-)
+#: The patterns of the classes as the columnar engine can read them, over sentences in plain spelling: without look-arounds and with a wider \w, so that they match wherever a class does.
+_GATES = [rf"(?:^|[^\p{{L}}\p{{N}}])(?:{regex.sub(r'[(][?]<!(?:[^)]*)[)]', '', LEXICON[k]).replace(chr(92) + 'w', '[^ ]')})" for k in _GATE] + [_ANYWHERE[k].pattern for k in _GATE if _ANYWHERE[k].pattern != "(?!)"]
+#: _ODD, _SELF and _CUT for the columnar engine; its \s knows ASCII only.
+_ODD_GATE = "|".join([r"[^\x00-\x7f]|[a-zA-Z]![a-zA-Z0-9@$+|*]|[a-zA-Z][@$0-9+|*]|[@$0-9+|*!][a-zA-Z]|(?:^|[^a-zA-Z])[a-zA-Z](?:[ .\-_*]{1,2}[a-zA-Z]){2}[ .\-_*]", *(3 * c for c in string.ascii_letters)])
+_SELF_GATE = _SELF.pattern.replace(r"\b", "")
+_CUT_GATE = r"""([.!?…])[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"')]+|([。！？])|\n+|<br ?/?>"""
 
 
-def maybe(texts: pa.Array, markers: list[str]) -> list[bool]:
-    """Whether each text may hold a word of the classes, a marker, or a disguised word; null counts as false."""
+def plain(sentences: pa.Array) -> pa.Array:
+    """Sentences in plain spelling, as `classes` gives them."""
+    out = pc.ascii_lower(sentences)
+    odd = pc.match_substring_regex(sentences, _ODD_GATE)
+    if pc.any(odd).as_py():
+        out = pc.replace_with_mask(out, odd, pa.array([normal(x) for x in sentences.filter(odd).to_pylist()], out.type))
+    rest = pc.or_(pc.match_substring(out, "*"), pc.match_substring_regex(out, _SELF_GATE))
+    if pc.any(rest).as_py():
+        out = pc.replace_with_mask(out, rest, pa.array([_SELF.sub(" ", _unmask(x)) for x in out.filter(rest).to_pylist()], out.type))
+    return out
+
+
+def maybe(texts: pa.Array, markers: list[str], spelled: pa.Array | None = None) -> list[bool]:
+    """Whether each text (spelled: its plain spelling) may hold a word of the classes or a marker; null counts as false."""
+    s = plain(texts) if spelled is None else spelled
     own = [r"(?:^|[^\p{L}\p{N}])(?:" + "|".join(map(regex.escape, markers)) + r")(?:[^\p{L}\p{N}]|$)"] if markers else []
-    out = pc.match_substring_regex(texts, _DISGUISE, ignore_case=True)
-    for gate in [*_GATES, *own]:
-        out = pc.or_(out, pc.match_substring_regex(texts, gate, ignore_case=True))
+    out = functools.reduce(pc.or_, (pc.match_substring_regex(s, gate) for gate in [*_GATES, *own]))
     return pc.fill_null(out, False).to_pylist()
 
 
@@ -141,13 +156,18 @@ def classes(sentence: str) -> tuple[str, np.ndarray | None]:
     """The sentence in plain spelling and the vector of its lexical classes; None if no class that could make a case occurs."""
     s = normal(sentence) if _ODD.search(sentence) else sentence.lower()
     s = _SELF.sub(" ", _unmask(s))
+    return s, vector(s, sentence)
+
+
+def vector(s: str, sentence: str) -> np.ndarray | None:
+    """The vector of the lexical classes of a sentence, s in plain spelling."""
     hits = {}
     for k in _GATE:
         n = len(_CLASSES[k].findall(s)) + (len(_ANYWHERE[k].findall(s)) if not s.isascii() else 0)
         if n:
             hits[k] = n
     if not hits:
-        return s, None
+        return None
     named = _PEOPLE.search(sentence) if any(k in hits for k in ("dehuman", "exclude", "garbage", "threat")) else None
     for k in NAMES:
         if k not in hits and k not in _GATE and k != "people" and (_CLASSES[k].search(s) or _ANYWHERE[k].search(s)):
@@ -163,7 +183,7 @@ def classes(sentence: str) -> tuple[str, np.ndarray | None]:
     v[-3] = hits.get("insult", 0) >= 2
     v[-2] = hits.get("sexual", 0) >= 2
     v[-1] = 1.0
-    return s, v
+    return v
 
 
 _ZERO = np.zeros(WIDTH)
@@ -184,10 +204,49 @@ def _bucket(gram: str) -> int:
     return zlib.crc32(gram.encode()) % BUCKETS
 
 
+@functools.lru_cache(maxsize=50_000)
+def _word_buckets(w: str) -> tuple[int, ...]:
+    """Buckets of what `grams` makes of one word."""
+    return tuple({_bucket(g) for g in grams(w)})
+
+
 def sentences(text: str) -> list[tuple[str, np.ndarray | None]]:
     return [classes(x) for x in _CUT.split(text) if x and not x.isspace()]
 
 
+#: Fewer sentences than these are read one by one, which takes less time than making the columnar engine's patterns.
+FEW = 50
+
+
+def _parts(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """The strings of the lists that aren't empty, and the number of the list of each."""
+    owner, flat = pc.list_parent_indices(lists), pc.list_flatten(lists)
+    full = pc.not_equal(flat, "")
+    return owner.filter(full).to_numpy().astype(np.int64), flat.filter(full)
+
+
+def _readable(texts: pa.Array) -> pa.Array:
+    """texts, with a replacement character for bytes that aren't UTF-8."""
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        return pa.array([b and b.decode("utf-8", "replace") for b in texts.cast(pa.large_binary()).to_pylist()], texts.type)
+
+
+def _cut(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The sentences of all texts, and the number of the text of each; a blank one may be among them."""
+    return _parts(pc.split_pattern(pc.replace_substring_regex(texts, _CUT_GATE, "\\1\\2\n"), "\n"))
+
+
+def _words(spelled: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The words of all sentences, and the number of the sentence of each."""
+    if len(spelled) < FEW:
+        found = [_LETTERS.findall(s) for s in spelled.to_pylist()]
+        return np.repeat(np.arange(len(found)), [len(w) for w in found]), pa.array([w for of in found for w in of], spelled.type)
+    return _parts(pc.split_pattern_regex(spelled, r"[^\p{L}\p{M}\p{N}']+"))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -207,32 +266,67 @@ def _fit(x: np.ndarray | _Rows, y: np.ndarray, free: np.ndarray, rounds: int = 4
 
 
 class Chain:
-    """Linear models in the order of LINKS: the first sees classes and hashed sequences, each later one classes and the earlier probabilities."""
+    """Linear models in the order of LINKS: the first sees classes and hashed sequences, each later one classes and the earlier probabilities.
+
+    markers only tell which words alone the first model has learned to be harmful; no score depends on them.
+    """
 
     def __init__(self, first: np.ndarray | None, later: list[np.ndarray], known: frozenset[int], markers: list[str], cutoff: float = 0.5) -> None:
         self.first, self.later, self.known, self.markers, self.cutoff = first, later, known, markers, cutoff
-        self.marked = frozenset(markers)
-
-    def vector(self, s: str, v: np.ndarray | None) -> tuple[np.ndarray, list[int]] | None:
-        """Classes and known buckets of a sentence; None if neither a class nor a marker occurs."""
-        if v is None and not (self.marked and any(w in self.marked for w in _LETTERS.findall(s))):
-            return None
-        return (_ZERO if v is None else v), sorted({b for g in grams(s) if (b := _bucket(g)) in self.known})
+        self.is_known = np.isin(np.arange(BUCKETS), list(known))
 
-    def probabilities(self, rows: list[tuple[np.ndarray, list[int]]]) -> np.ndarray:
-        """Probability of each link, for each sentence."""
+    def probabilities(self, x: np.ndarray, learned: np.ndarray) -> np.ndarray:
+        """Probability of each link, for each sentence: its classes, and the sum of what the first model has learned of its sequences."""
         if self.first is None:
-            return np.zeros((len(rows), len(LINKS)))
-        x = np.array([v for v, _ in rows])
-        p = _sigmoid(x @ self.first[:WIDTH] + np.array([self.first[WIDTH + np.array(b, dtype=int)].sum() for _, b in rows]))[:, None]
+            return np.zeros((len(x), len(LINKS)))
+        # Sums row by row: a sentence's value doesn't depend on those beside it, as that of a matrix product may.
+        p = _sigmoid((x * self.first[:WIDTH]).sum(axis=1) + learned)[:, None]
         for w in self.later:
-            p = np.column_stack([p, _sigmoid(np.column_stack([x, _logit(p)]) @ w)])
+            p = np.column_stack([p, _sigmoid((x * w[:WIDTH]).sum(axis=1) + (_logit(p) * w[WIDTH:]).sum(axis=1))])
         return p
 
+    def learned(self, spelled: pa.Array) -> np.ndarray:
+        """Sum of the first model's weights of the known buckets of each sentence in plain spelling, each bucket once."""
+        owner, words = _words(spelled)
+        coded = words.dictionary_encode()
+        word, vocabulary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        of_word = [_word_buckets(w) for w in vocabulary]
+        size = np.array([len(b) for b in of_word], dtype=np.int64)
+        flat = np.array([b for of in of_word for b in of], dtype=np.int64)
+        # Places of all buckets of all words: a word's first place in the flat table, then its next ones.
+        n = size[word]
+        place = np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(n) - n), n)
+        # A pair's checksum goes on from that of its first word and the space.
+        begun, ended = [zlib.crc32(f"{w} ".encode()) for w in vocabulary], [w.encode() for w in vocabulary]
+        at = np.flatnonzero(owner[1:] == owner[:-1])
+        pair = np.array([zlib.crc32(ended[b], begun[a]) for a, b in zip(word[at].tolist(), word[at + 1].tolist())], dtype=np.int64) % BUCKETS
+        bucket = np.concatenate([flat[place], pair])
+        sentence = np.concatenate([np.repeat(owner, n), owner[at]])
+        take = self.is_known[bucket]
+        held = np.sort(sentence[take] * BUCKETS + bucket[take])
+        held = held[np.diff(held, prepend=-1) > 0]
+        return np.bincount(held // BUCKETS, self.first[WIDTH + held % BUCKETS], len(spelled))
+
+    def score_all(self, texts: pa.Array) -> np.ndarray:
+        """Probability of each category for each text, of the worst sentence in that category."""
+        owner, raw = _cut(_readable(texts))
+        spelled = plain(raw)
+        x = np.tile(_ZERO, (len(raw) + 1, 1))
+        for k in range(len(raw)) if len(raw) < FEW else np.flatnonzero(maybe(raw, [], spelled)):
+            v = vector(spelled[k].as_py(), raw[k].as_py())
+            if v is not None:
+                x[k] = v
+        sums = np.zeros(len(x))
+        if self.first is not None and len(raw):
+            sums[:-1] = self.learned(spelled)
+        p = self.probabilities(x, sums)[:, 1:]
+        out = np.tile(p[-1], (len(texts), 1))
+        np.maximum.at(out, owner, p[:-1])
+        return out
+
     def score(self, text: str) -> tuple[float, ...]:
         """Probability of each category, of the worst sentence in that category."""
-        rows = [r for s, v in sentences(text) if (r := self.vector(s, v)) is not None]
-        return tuple(float(v) for v in self.probabilities([*rows, (_ZERO, [])])[:, 1:].max(axis=0))
+        return tuple(self.score_all(pa.array([text], pa.string()))[0].tolist())
 
     def without_chain(self) -> Chain:
         """The same models with no weight on earlier probabilities."""
@@ -351,6 +445,20 @@ def labelled(labels: DataFrame) -> list[tuple[str, str]]:
     return [(r.text, r.label.strip().lower()) for r in rows]
 
 
+#: Bytes of texts that are scored as one set of arrays, unless one text alone is longer.
+SLICE = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most SLICE bytes of texts, or of one row."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(total):
+        end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + SLICE, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def scores(examples: DataFrame, chain: Chain) -> DataFrame:
     """idx, item_pos, source, p_abuse, p_sexual, p_hate, score (the largest) of every review, each delivery."""
     shared = examples.sparkSession.sparkContext.broadcast((chain.first, chain.later, chain.known, chain.markers, chain.cutoff))
@@ -359,14 +467,12 @@ def scores(examples: DataFrame, chain: Chain) -> DataFrame:
     schema = reviews.select("idx", "item_pos", "source").withColumns({n: F.lit(None).cast("double") for n in names[3:]}).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, zero = None, ()
+        model = None
         for batch in batches:
-            if model is None:
-                model = Chain(*shared.value)
-                zero = model.score("")
-            rows = [model.score(t.as_py()) if yes else zero for t, yes in zip(batch.column(3), maybe(batch.column(3), model.markers))]
-            cols = [*zip(*rows)] if rows else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), *(pa.array(c, pa.float64()) for c in cols), pa.array([max(r) for r in rows], pa.float64())], names=names)
+            model = model or Chain(*shared.value)
+            for part in slices(batch, 3):
+                p = model.score_all(part.column(3))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *(pa.array(c, pa.float64()) for c in (*p.T, p.max(axis=1)))], names=names)
 
     return spread(reviews.select("idx", "item_pos", "source", "text")).mapInArrow(run, schema)
 

@@ -98,3 +98,64 @@ def test_tables(spark):
     rates = {r.source: (r.reviews, r.flagged) for r in T.rates(e, labels).collect()}
     assert rates == {"web": (3, 1), None: (1, 0)}
     assert T.found(e.limit(0), labels.limit(0)).count() == 0
+
+
+def whole(chain, text):
+    """Probabilities of a text, sentence by sentence with all classes and known sequences, and no gate."""
+    best = np.zeros(3)
+    for s, v in [*T.sentences(text), ("", None)]:
+        v = T._ZERO if v is None else v
+        p = [T._sigmoid(v @ chain.first[: T.WIDTH] + sum(chain.first[T.WIDTH + b] for b in {T._bucket(g) for g in T.grams(s)} & chain.known))]
+        for w in chain.later:
+            p.append(T._sigmoid(np.append(v, T._logit(np.array(p))) @ w))
+        best = np.maximum(best, p[1:])
+    return best
+
+
+def test_no_text_is_left_out(spark, chain):
+    """Texts whose words are no class and no marker are scored by what they hold, classes in any spelling are found."""
+    more = [("That guest is such a zork again.", "abuse"), ("You zork of a cook.", "abuse"), ("A zork runs it.", "abuse")] * 8
+    labels = [(t, y) for t, y in LABELS if y] + more
+    c = T.fit_chain(labels)
+    zero = max(c.score(""))
+    learned = ["Some cork sat there.", "Fine. A fork, at last."]
+    disguised = ["kill\u00a0yourself", "What a \u24dc\u24de\u24e1\u24de\u24dd.", "twa7", "i\u00a0d\u00a0i\u00a0o\u00a0t", "Break your été bones.", "\u2170diot"]
+    texts = [*learned, *disguised, "Nice."]
+    e = spark.createDataFrame([(i, "web", None, (t,), 0.1) for i, t in enumerate(texts)], "idx bigint, source string, history array<struct<review_text:string>>, target_item struct<target_review_text:string>, score double")
+    got = {r.idx: (r.p_abuse, r.p_sexual, r.p_hate) for r in T.scores(e, c).collect()}
+    for i, t in enumerate(texts):
+        assert np.allclose(got[i], whole(c, t), rtol=0, atol=1e-12), t
+    assert all(max(got[i]) > zero + 0.005 for i in (0, 1)) and all(max(got[i]) >= c.cutoff for i in range(2, len(texts) - 1)) and max(got[len(texts) - 1]) == zero
+
+
+def test_scores_of_arrays_are_those_of_sentences(chain):
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(1)
+    bits = [*"aZ3!*@$|+' .\n(\")\t\x1c\x85…。’é-_мı\u00a0\u200be\u0301", ". ", "! ", "<br>", "<br />", "you ", "idiot", "m0ron", "b**ch", "kill", "\u00a0yourself", "I felt like an idiot", "soup", " was", "害虫", "\u24d8", "zzz", "All foreigners ", "vermin", "don’t eat with "]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 25))) for _ in range(1000)] + [t for t, _ in LABELS] + [None, "You moron. " * 50_000, "word " * 50_000]
+    got = chain.score_all(pa.array(texts, pa.string()))
+    for t, p in zip(texts, got):
+        if t is None or len(t) < 1000:
+            assert np.allclose(p, whole(chain, t or ""), rtol=0, atol=1e-12), t
+            assert tuple(p) == chain.score(t), t
+    assert tuple(got[-2]) == chain.score("You moron.") and tuple(got[-1]) == chain.score("word " * 2)
+
+
+def test_slices_hold_all_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "SLICE", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n if n is not None else None for n in (0, 11, 3, 3, 3, 3, None, 10, 40, 0)])], names=["t"])
+    assert [len(p) for p in T.slices(batch, 0)] == [1, 1, 3, 2, 1, 1, 1] and pa.Table.from_batches(T.slices(batch, 0)).to_pylist() == batch.to_pylist()
+    assert list(T.slices(batch.slice(0, 0), 0)) == []
+
+
+def test_broken_bytes(chain):
+    import pyarrow as pa
+
+    broken = pa.StringArray.from_buffers(2, pa.py_buffer(np.array([0, 12, 17], dtype=np.int32)), pa.py_buffer(b"You \xff moron.Nice."))
+    got = chain.score_all(broken)
+    assert tuple(got[0]) == chain.score("You � moron.") and got[0].max() >= chain.cutoff and tuple(got[1]) == chain.score("")
